@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import quality
 from tidemark.runtime import prepare, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,5 +24,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts}
-SQL: dict[str, str] = {}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality_rules
+
+    judged = quality_rules(table(prepare(spark), sf_dir, "documents"))
+    return judged.drop("lang", "source", "n_lines")
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op6_quality_rules": op6_quality_rules}
+SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
