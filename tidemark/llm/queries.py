@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import quality
-from tidemark.runtime import prepare, table
+from tidemark.runtime import prepare, scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +26,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.codec import read_files, with_crc, write_files
+
+    folder = f"{scratch_dir(prepare(spark))}/tokens/{uuid.uuid4().hex}"
+    manifest = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), end=2)
+    return with_crc(read_files(manifest, folder))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import quality_rules
 
@@ -31,5 +41,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source", "n_lines")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
