@@ -20,6 +20,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(table(prepare(spark), sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.counts import token_counts
 
@@ -41,5 +47,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source", "n_lines")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
