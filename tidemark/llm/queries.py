@@ -14,6 +14,12 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(table(prepare(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import digests, encode_decode
 
@@ -47,5 +53,5 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source", "n_lines")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
