@@ -53,5 +53,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source", "n_lines")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pseudonymise
+
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, count="n_pseudonyms")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules, "op10_pii": op10_pii}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
