@@ -53,6 +53,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source", "n_lines")
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import repeated_passages
+
+    return repeated_passages(table(prepare(spark), sf_dir, "documents"), window=35, with_text=False)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.neardup import near_duplicates
 
@@ -66,5 +72,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, count="n_pseudonyms")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules, "op8_near_duplicates": op8_near_duplicates, "op10_pii": op10_pii}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules, "op7_repeated_passages": op7_repeated_passages, "op8_near_duplicates": op8_near_duplicates, "op10_pii": op10_pii}
 SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
