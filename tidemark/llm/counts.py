@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import token_lengths
+from tidemark.runtime import cut
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -61,4 +62,4 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Suffix sums over the exact token lengths of every whole text of ``docs`` (null: length 0)."""
-    return suffix_sums(length_histogram(token_lengths(docs, vocabulary, text)))
+    return suffix_sums(cut(length_histogram(token_lengths(docs, vocabulary, text))))  # written: texts are encoded once
