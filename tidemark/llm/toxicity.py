@@ -102,20 +102,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return model["slot"].to_numpy(np.int64), model["weight"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``score`` (double, 0 to 1) of every whole text beside the columns ``keep``; an empty text has the intercept's score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """Score (``out``, double, 0 to 1) of every whole text beside the columns ``keep``; an empty text has the intercept's score."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((1 << BITS) + 1)
         weights[shared.value[0]] = shared.value[1]
         for batch in batches:
-            out = [sigmoid(weights[features(t)].sum() + weights[-1]) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*keep, "score"])
+            scores = [sigmoid(weights[features(t)].sum() + weights[-1]) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*keep, out])
 
     chosen = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     kinds = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
-    return chosen.mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return chosen.mapInArrow(run, ", ".join([*kinds, f"{out} double"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
