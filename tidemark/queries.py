@@ -519,10 +519,10 @@ def inc_cw(spark, sf_dir):
     return _maintained(spark, whole, "doc_id", updated, lambda s, f: f.map(F.col("doc_id"), token_count(F.col("text")).alias("c")).reduce(sum_of("n", "c"))).df()
 
 
-@query("inc_reduce_sum", f"select round(sum(o_totalprice), 2) as total, count(*)::bigint as n from ({_FINAL_ORDERS})")
+@query("inc_reduce_sum", f"select round(sum(o_totalprice), 3) as total, count(*)::bigint as n from ({_FINAL_ORDERS})")
 def inc_reduce_sum(spark, sf_dir):
     whole, updated = _orders(spark, sf_dir)
-    return _maintained(spark, whole, "o_orderkey", updated, lambda s, f: f.reduce(sum_of("total", "o_totalprice"), count_of("n"))).df().withColumn("total", F.round("total", 2))
+    return _maintained(spark, whole, "o_orderkey", updated, lambda s, f: f.reduce(sum_of("total", "o_totalprice"), count_of("n"))).df().withColumn("total", F.round("total", 3))
 
 
 @query("inc_reduce_max", f"select max(o_totalprice) as top from ({_FINAL_ORDERS})")
@@ -531,10 +531,10 @@ def inc_reduce_max(spark, sf_dir):
     return _maintained(spark, whole, "o_orderkey", updated, lambda s, f: f.reduce(max_of("top", "o_totalprice"), key="o_orderkey")).df()
 
 
-@query("inc_reduce_by_key", f"select o_custkey, round(sum(o_totalprice), 2) as total, count(*)::bigint as n from ({_FINAL_ORDERS}) group by o_custkey")
+@query("inc_reduce_by_key", f"select o_custkey, round(sum(o_totalprice), 3) as total, count(*)::bigint as n from ({_FINAL_ORDERS}) group by o_custkey")
 def inc_reduce_by_key(spark, sf_dir):
     whole, updated = _orders(spark, sf_dir)
-    return _maintained(spark, whole, "o_orderkey", updated, lambda s, f: f.reduce_by_key("o_custkey", sum_of("total", "o_totalprice"), count_of("n"))).df().withColumn("total", F.round("total", 2))
+    return _maintained(spark, whole, "o_orderkey", updated, lambda s, f: f.reduce_by_key("o_custkey", sum_of("total", "o_totalprice"), count_of("n"))).df().withColumn("total", F.round("total", 3))
 
 
 @query("inc_reduce_by_key_min", f"select o_custkey, min(o_totalprice) as low, max(o_totalprice) as high from ({_FINAL_ORDERS}) group by o_custkey")
