@@ -29,12 +29,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     scratch_dir(spark)
     return spark
 
 
+def _bytes(setting: str) -> int:
+    """Bytes of a size setting such as 64m or 1048576b."""
+    digits = setting.strip().lower().removesuffix("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    return int(digits[:-1] if scale else digits) << scale
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
