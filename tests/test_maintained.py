@@ -100,7 +100,7 @@ def test_random_changes_drain_and_refill(spark, seed):
                     t.put(k, value=now[k])
             u.put(step, other=step)
         s.propagate()
-        assert rows(t.df()) == sorted(now.items())
+        assert rows(t.df()) == sorted(now.items(), key=repr)
         for n, r in results.items():
             assert rows(r.df()) == rows(frames[n].full()), (n, step)
 
