@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, rows, signed
+from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, signed, union
 from tidemark.runtime import cut
 
 #: A table's changes are folded into its base once there are this many, so reads stay a few files wide.
@@ -77,12 +77,17 @@ class KeyedTable:
     # -- versions -----------------------------------------------------------------------------------------------
 
     def _at(self, changes: list[DataFrame]) -> DataFrame:
+        """Rows of the base whose keys no change names, and what the changes make of the others.
+
+        Keys are unique, so the base needn't be added up with the changes: it is read past the few changed keys.
+        """
         if not changes:
             return self.base
-        whole = signed(self.base)
-        for c in changes:
-            whole = whole.unionByName(c)
-        return rows(consolidate(whole))
+        keys = union(*(c.select(*self.key) for c in changes)).distinct()
+        named = keys.select(*(F.col(k).alias(f"_k_{k}") for k in self.key))
+        untouched = self.base.join(named, nullsafe(self.key, [f"_k_{k}" for k in self.key]), "left_anti")
+        touched = consolidate(union(signed(restrict(self.base, keys, self.key)), *changes))
+        return untouched.unionByName(touched.filter(F.col(DIFF) > 0).drop(DIFF))
 
     def df(self, version: str = "new") -> DataFrame:
         """The rows of the current version, or of the one before the last ``advance``."""
@@ -90,11 +95,8 @@ class KeyedTable:
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Current rows of some keys: only those keys' rows of the base are read and added up."""
-        parts = [signed(self.base), *self.changes]
-        found = restrict(parts[0], keys, self.key)
-        for p in parts[1:]:
-            found = found.unionByName(restrict(p, keys, self.key))
-        return rows(consolidate(found))
+        found = union(*(restrict(p, keys, self.key) for p in (signed(self.base), *self.changes)))
+        return consolidate(found).filter(F.col(DIFF) > 0).drop(DIFF)
 
     def advance(self) -> DataFrame | None:
         """Turn queued puts and removals into one written change; None if nothing changes."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.operators.delta import consolidate, rows, signed
 from tidemark.operators.table import KeyedTable
@@ -74,6 +75,14 @@ class Session:
             self.results.append(self._known[id(frame)])
         return self._known[id(frame)]
 
+    def run_all(self, *frames: Frame) -> list[Result]:
+        """Run independent graphs at the same time, their jobs side by side."""
+        shared = [n for n in {id(n): n for f in frames for n in f.nodes()}.values()]
+        for node in shared:  # state that graphs share is built once, before they part
+            node.initialise()
+        with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+            return list(pool.map(self.run, frames))
+
     def propagate(self) -> int:
         """Apply all queued changes and update every result; returns how many tables changed. Nothing queued, no work."""
         if not any(s.table.pending for s in self.sources.values()):
@@ -102,4 +111,4 @@ class Session:
         self._known.clear()
 
 
-__all__ = ["F", "Result", "Session"]
+__all__ = ["Result", "Session"]

@@ -157,11 +157,14 @@ def reduce_empty(spark, sf_dir):
     return _frame(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity").filter("l_quantity < 0").reduce(max_of("top", "l_quantity")).full()
 
 
-@query("reduce_by_key", "select o_custkey, round(sum(o_totalprice), 4) as total, count(*)::bigint as n, round(avg(o_totalprice), 4) as mean, min(o_totalprice) as low, max(o_totalprice) as high from orders group by o_custkey")
+_CENTS = "cast(round(o_totalprice * 100) as bigint)"
+
+
+@query("reduce_by_key", f"select o_custkey, sum({_CENTS})::bigint as total_cents, count(*)::bigint as n, avg({_CENTS}) as mean_cents, min(o_totalprice) as low, max(o_totalprice) as high from orders group by o_custkey")
 def reduce_by_key(spark, sf_dir):
-    orders = _frame(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
-    out = orders.reduce_by_key("o_custkey", sum_of("total", "o_totalprice"), count_of("n"), avg_of("mean", "o_totalprice"), min_of("low", "o_totalprice"), max_of("high", "o_totalprice")).full()
-    return out.withColumns({c: F.round(c, 4) for c in ("total", "mean")})
+    """Sums and means in whole cents, so that the order of adding can't show."""
+    orders = _frame(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").map_values(cents=_CENTS)
+    return orders.reduce_by_key("o_custkey", sum_of("total_cents", "cents"), count_of("n"), avg_of("mean_cents", "cents"), min_of("low", "o_totalprice"), max_of("high", "o_totalprice")).full()
 
 
 @query("reduce_by_key_opaque", "select o_custkey, bit_xor(o_orderkey) as folded from orders group by o_custkey")
