@@ -190,8 +190,10 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = True)
     level = cut(_extended(candidates, window))
     halves = level.select(F.explode(F.array("r", "l")).alias("half")).filter("half is not null")
     twice = _repeated(halves, "half")
+    # Each anchor has one side at least; it stands in for one that is missing, so no null gathers in a partition.
     level = (
-        level.join(twice.withColumnRenamed("half", "r2"), F.col("r") == F.col("r2"), "left")
+        level.withColumns({"r": F.coalesce("r", "l"), "l": F.coalesce("l", "r")})
+        .join(twice.withColumnRenamed("half", "r2"), F.col("r") == F.col("r2"), "left")
         .join(twice.withColumnRenamed("half", "l2"), F.col("l") == F.col("l2"), "left")
         .filter("r2 is not null or l2 is not null")
         .select("k1", "k2", "p", "gram", "hi", "lo")
