@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.delta import DIFF, consolidate, negate, restrict, signed, union
-from tidemark.plans.frame import Frame
+from tidemark.plans.frame import Frame, Stateful
 from tidemark.runtime import cut
 
 BASE, DAMPING = 0.15, 0.85
@@ -41,17 +41,34 @@ def in_neighbours(edges: DataFrame) -> DataFrame:
     return reverse.join(out_degree(edges), "node").select("node", "out_degree", "neighbours")
 
 
-def pagerank(edges: DataFrame, steps: int) -> DataFrame:
-    """(node, rank) after ``steps`` steps. Edges are grouped by source once, with their weights; each step then joins
-    ranks to them and adds up by target before anything is shuffled."""
+def _weighted(edges: DataFrame) -> DataFrame:
+    """Edges grouped by source with the share of a source's rank that each passes on."""
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    weighted = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(deg, "src").select("src", "dst", (DAMPING * F.col("m") / F.col("deg")).alias("w"))
-    weighted = weighted.repartition("src")
-    nodes = nodes_of(edges)
+    once = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
+    return once.join(deg, "src").select("src", "dst", (DAMPING * F.col("m") / F.col("deg")).alias("w"))
+
+
+def _next(weighted: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    passed = weighted.join(ranks, weighted["src"] == ranks["node"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("w")).alias("r"))
+    return nodes.select("node", F.lit(BASE).alias("r")).unionByName(passed).groupBy("node").agg(F.sum("r").alias("rank"))
+
+
+def pagerank(edges: DataFrame, steps: int) -> DataFrame:
+    """(node, rank) after ``steps`` steps, as one plan. Edges are grouped by source once; each step joins ranks to
+    them and adds up by target before anything is shuffled."""
+    weighted, nodes = _weighted(edges).repartition("src"), nodes_of(edges)
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for _ in range(steps):
-        passed = weighted.join(ranks, weighted["src"] == ranks["node"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("w")).alias("r"))
-        ranks = nodes.select("node", F.lit(BASE).alias("r")).unionByName(passed).groupBy("node").agg(F.sum("r").alias("rank"))
+        ranks = _next(weighted, nodes, ranks)
+    return ranks
+
+
+def pagerank_steps(edges: DataFrame, steps: int) -> list[DataFrame]:
+    """The ranks before the first step and after each, every one written and made from the one before."""
+    weighted, nodes = cut(_weighted(edges)), cut(nodes_of(edges))
+    ranks = [nodes.select("node", F.lit(1.0).alias("rank"))]
+    for _ in range(steps):
+        ranks.append(cut(_next(weighted, nodes, ranks[-1])))
     return ranks
 
 
@@ -69,13 +86,14 @@ def reverse_pagerank(edges: DataFrame, steps: int) -> DataFrame:
 
 def column_pagerank(edges: DataFrame, steps: int) -> DataFrame:
     """A wide table: node and its rank after each step, rank_1 to rank_<steps>."""
-    out = nodes_of(edges).select("node")
-    for i in range(1, steps + 1):
-        out = out.join(pagerank(edges, i).withColumnRenamed("rank", f"rank_{i}"), "node")
+    out, *after = pagerank_steps(edges, steps)
+    out = out.select("node")
+    for i, ranks in enumerate(after, 1):
+        out = out.join(ranks.withColumnRenamed("rank", f"rank_{i}"), "node")
     return out
 
 
-class PageRank(Frame):
+class PageRank(Stateful):
     """Ranks of the edges (src, dst) of a frame, maintained.
 
     The ranks after each step are additive state: (node, r, n), where n counts the node's presence. A change touches,
@@ -92,16 +110,20 @@ class PageRank(Frame):
         self.state: list[list[DataFrame]] = []
 
     def full(self, version="new"):
+        if self.given:
+            return self._stored(version)
         return pagerank(self.children[0].full(version).select("src", "dst"), self.steps)
 
     def initialise(self) -> None:
         super().initialise()
-        if not self.state:
+        if not self.given:
             self._rebuild()
+            self.given = [cut(signed(self._read(self.state[-1])))]
+            self.before = list(self.given)
 
     def _rebuild(self) -> None:
         edges = self.children[0].full().select("src", "dst")
-        self.state = [[cut(pagerank(edges, i).select("node", F.col("rank").alias("r"), F.lit(1).cast("long").alias("n")))] for i in range(self.steps + 1)]
+        self.state = [[ranks.select("node", F.col("rank").alias("r"), F.lit(1).cast("long").alias("n"))] for ranks in pagerank_steps(edges, self.steps)]
 
     @staticmethod
     def _ranks(parts: list[DataFrame], keys: DataFrame) -> DataFrame:
@@ -126,9 +148,8 @@ class PageRank(Frame):
         for i in range(self.steps):
             affected = cut(change.select("node").union(sources).distinct())
             if affected.count() > FULL_FROM * max(total, 1):
-                before = self._read(old[-1])
                 self._rebuild()
-                return consolidate(negate(signed(before)).unionByName(signed(self._read(self.state[-1]))))
+                return self._give(self._read(self.state[-1]), affected, [])
             of = lambda e, ranks: self._contributions(e.join(affected.withColumnRenamed("node", "src"), "src", "left_semi"), ranks)
             gone = of(old_edges, self._ranks(old[i], affected)).withColumn("r", -F.col("r"))
             come = of(new_edges, self._ranks([*old[i], change], affected))
@@ -138,9 +159,9 @@ class PageRank(Frame):
             change = cut(change.filter((F.abs("r") > self.epsilon) | (F.col("n") != 0)))
             deltas.append(change)
         last = deltas[-1]
-        out = consolidate(negate(signed(self._ranks(old[-1], last))).unionByName(signed(self._ranks([*old[-1], last], last))))
+        new = self._ranks([*old[-1], last], last)
         self.state = [self._fold([*parts, d]) for parts, d in zip(old, deltas)]
-        return out
+        return self._give(new, last, ["node"])
 
     @staticmethod
     def _fold(parts: list[DataFrame]) -> list[DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.agg import AggSpec
-from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, signed, union
+from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, rows, signed, union
 from tidemark.operators.table import KeyedTable
 from tidemark.runtime import cut
 
@@ -44,9 +44,13 @@ class Frame:
         """Change of this node in a step; computed once a step, None if no input changed."""
         if self._step[0] != step:
             changes = [c.delta(step) for c in self.children]
+            self._begin()
             self._step = (step, None if all(c is None for c in changes) and self.children else self._change(changes, step))
         return self._step[1]
 
+    def _begin(self) -> None:
+        """Called once a step, before the node's own change."""
+
     def initialise(self) -> None:
         """Build whatever state the node keeps, children first."""
         for c in self.children:
@@ -262,7 +266,36 @@ class Join(Frame):
         return consolidate(union(*parts))
 
 
-class Reduce(Frame):
+class Stateful(Frame):
+    """A node that remembers the rows it gave out, as they were written.
+
+    What is taken back later is exactly what was given: sums of floating-point numbers computed again may differ in
+    their last bits, and such a row would never cancel.
+    """
+
+    def __init__(self, *children: Frame):
+        super().__init__(*children)
+        self.given: list[DataFrame] = []
+        self.before: list[DataFrame] = []
+
+    def _begin(self) -> None:
+        self.before = list(self.given)
+
+    def _stored(self, version: str) -> DataFrame:
+        parts = self.given if version == "new" else self.before
+        return rows(consolidate(union(*parts)) if len(parts) > 1 else parts[0])
+
+    def _give(self, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+        """The change from what was given for the touched keys to their new rows; written, and remembered."""
+        old = union(*(restrict(p, touched, keys) for p in self.given))
+        change = cut(consolidate(negate(old).unionByName(signed(new))))
+        self.given.append(change)
+        if len(self.given) > FOLD_AFTER:
+            self.given = [cut(consolidate(union(*self.given)))]
+        return change
+
+
+class Reduce(Stateful):
     """Keyed or global reduction.
 
     Invertible aggregates keep sums and a row count per group as additive state: a change appends the sums of its own
@@ -285,40 +318,43 @@ class Reduce(Frame):
             return d
         return d.filter(F.abs(F.expr(self.specs[0].value)) > self.threshold)
 
-    def full(self, version="new"):
-        d = self._guard(self.children[0].full(version))
-        grouped = d.groupBy(*self.keys).agg(*(s.full() for s in self.specs), F.count(F.lit(1)).alias("_rows"))
+    def _grouped(self, d: DataFrame) -> DataFrame:
+        grouped = self._guard(d).groupBy(*self.keys).agg(*(s.full() for s in self.specs), F.count(F.lit(1)).alias("_rows"))
         return self._finish(grouped.filter("_rows > 0").drop("_rows"))
 
+    def full(self, version="new"):
+        return self._stored(version) if self.given else self._grouped(self.children[0].full(version))
+
     def _sums(self, d: DataFrame) -> DataFrame:
         return d.groupBy(*self.keys).agg(F.sum(DIFF).alias("_rows"), *(p for s in self.specs for p in s.partials(F.col(DIFF))))
 
-    def _values(self, parts: list[DataFrame], keys: DataFrame) -> DataFrame:
-        chosen = union(*(restrict(p, keys, self.keys) for p in parts))
-        merged = chosen.groupBy(*self.keys).agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()))
-        return self._finish(merged.filter("_rows > 0").select(*self.keys, *(s.value_of() for s in self.specs)))
+    def _added_up(self, parts: list[DataFrame]) -> DataFrame:
+        return union(*parts).groupBy(*self.keys).agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()))
+
+    def _values(self, sums: DataFrame) -> DataFrame:
+        return self._finish(sums.filter("_rows > 0").select(*self.keys, *(s.value_of() for s in self.specs)))
 
     def initialise(self) -> None:
         super().initialise()
-        if self.additive and not self.state:
-            self.state = [cut(self._sums(signed(self._guard(self.children[0].full()))))]
+        if self.given:
+            return
+        child = self.children[0].full()
+        if self.additive:
+            self.state = [cut(self._sums(signed(self._guard(child))))]
+        self.given = [cut(signed(self._values(self.state[0]) if self.additive else self._grouped(child)))]
+        self.before = list(self.given)
 
     def _change(self, changes, step):
         d = self._guard(changes[0])
-        if self.additive:
-            added = cut(self._sums(d))
-            old, new = self._values(self.state, added), self._values([*self.state, added], added)
-            self.state.append(added)
-            if len(self.state) > FOLD_AFTER:
-                whole = union(*self.state).groupBy(*self.keys).agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()))
-                self.state = [cut(whole.filter("_rows <> 0"))]
-        else:
+        if not self.additive:
             touched = cut(d.select(*self.keys).distinct()) if self.keys else d
-            again = lambda v: self._finish(
-                self._guard(restrict(self.children[0].full(v), touched, self.keys)).groupBy(*self.keys).agg(*(s.full() for s in self.specs), F.count(F.lit(1)).alias("_rows")).filter("_rows > 0").drop("_rows")
-            )
-            old, new = again("old"), again("new")
-        return consolidate(negate(signed(old)).unionByName(signed(new)))
+            return self._give(self._grouped(restrict(self.children[0].full("new"), touched, self.keys)), touched, self.keys)
+        added = cut(self._sums(d))
+        self.state.append(added)
+        new = self._values(self._added_up([restrict(p, added, self.keys) for p in self.state]))
+        if len(self.state) > FOLD_AFTER:
+            self.state = [cut(self._added_up(self.state).filter("_rows <> 0"))]
+        return self._give(new, added, self.keys)
 
 
-__all__ = ["Frame", "Join", "Reduce", "Sorted", "Source", "global_rank", "nullsafe"]
+__all__ = ["Frame", "Join", "Reduce", "Sorted", "Source", "Stateful", "global_rank", "nullsafe"]
