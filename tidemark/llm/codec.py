@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -37,15 +38,16 @@ SAMPLE_DOCS = 512
 SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-WORDS_KEPT = 400_000
-SPACES = str.maketrans("\n\t\r\x0b\x0c", "     ")
+WORDS_KEPT = 500_000
 
 
 class WordTokenizer:
     """Whole-text encoding by the tokenizers library for vocabularies that drop white space.
 
     Such a vocabulary never joins what white space parts, so a text's ids are those of its words, one after
-    another; each distinct word goes through the library once and is then looked up.
+    another; each distinct word goes through the library once and is then looked up. Words of plain letters, with
+    or without a stop behind them, are put together from their parts, and the library sees the letters of many
+    such words as one text. All other words go through it one by one.
     """
 
     def __init__(self, path: str):
@@ -56,19 +58,55 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._words: dict[str, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
+        self._letters: dict[str, bytes] = {}
+        self._stops: dict[str, bytes] = {"": b""}
+        self._plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _learn_letters(self, new: list[str]) -> None:
+        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, at = np.array(e.ids, dtype=self.dtype), np.array(e.word_ids, dtype=np.int64)
+        ends = np.flatnonzero(np.diff(at, append=len(new)) != 0) + 1
+        if len(ends) != len(new):
+            self._letters.update(zip(new, self._each(new)))
+            return
+        raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
+        for word, stop in zip(new, ends.tolist()):
+            self._letters[word] = raw[start * width : stop * width]
+            start = stop
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        for raw in new:
+            m = self._plain(word := raw.decode("utf-8"))
+            (plain if m else other).append((raw, (m[1].lower(), m[2]) if m else word))
+        letters = list({x[0] for _, x in plain} - self._letters.keys())
+        if letters:
+            self._learn_letters(letters)
+        for stop in {x[1] for _, x in plain} - self._stops.keys():
+            self._stops[stop] = self._each([stop])[0]
+        for raw, (word, stop) in plain:
+            self._words[raw] = self._letters[word] + self._stops[stop]
+        for (raw, _), packed in zip(other, self._each([w for _, w in other])):
+            self._words[raw] = packed
 
     def encode_all(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text followed by ``end``, packed in ``dtype``; a null text has only ``end``."""
-        split = [t.translate(SPACES).split(" ") if t else [] for t in texts]
-        known = self._words
-        if len(known) > WORDS_KEPT:
-            known.clear()
-            known[""] = b""
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        tail = np.array([end], dtype=self.dtype).tobytes()
+        for kept in (self._words, self._letters, self._stops):
+            if len(kept) > WORDS_KEPT:
+                kept.clear()
+        self._stops[""] = b""
+        known, split = self._words, [t.encode("utf-8").split() if t else [] for t in texts]
+        new = {w for words in split for w in words} - known.keys()
+        if new:
+            self._learn(list(new))
+        tail = self._pack([end])
         return [b"".join([known[w] for w in words]) + tail for words in split]
 
 
