@@ -82,19 +82,18 @@ class WordTokenizer:
             start = stop
 
     def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for raw in new:
-            m = self._plain(word := raw.decode("utf-8"))
-            (plain if m else other).append((raw, (m[1].lower(), m[2]) if m else word))
-        letters = list({x[0] for _, x in plain} - self._letters.keys())
+        matches = list(map(self._plain, map(bytes.decode, new)))
+        plain = [(raw, m[1].lower(), m[2]) for raw, m in zip(new, matches) if m]
+        letters = {word for _, word, _ in plain}.difference(self._letters)
         if letters:
-            self._learn_letters(letters)
-        for stop in {x[1] for _, x in plain} - self._stops.keys():
+            self._learn_letters(list(letters))
+        for stop in {stop for _, _, stop in plain}.difference(self._stops):
             self._stops[stop] = self._each([stop])[0]
-        for raw, (word, stop) in plain:
-            self._words[raw] = self._letters[word] + self._stops[stop]
-        for (raw, _), packed in zip(other, self._each([w for _, w in other])):
-            self._words[raw] = packed
+        words, known, stops = self._words, self._letters, self._stops
+        for raw, word, stop in plain:
+            words[raw] = known[word] + stops[stop] if stop else known[word]
+        other = [raw for raw, m in zip(new, matches) if not m]
+        words.update(zip(other, self._each([raw.decode("utf-8") for raw in other])))
 
     def encode_all(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text followed by ``end``, packed in ``dtype``; a null text has only ``end``."""
@@ -103,11 +102,11 @@ class WordTokenizer:
                 kept.clear()
         self._stops[""] = b""
         known, split = self._words, [t.encode("utf-8").split() if t else [] for t in texts]
-        new = {w for words in split for w in words} - known.keys()
+        new = set().union(*split).difference(known)
         if new:
             self._learn(list(new))
         tail = self._pack([end])
-        return [b"".join([known[w] for w in words]) + tail for words in split]
+        return [b"".join(map(known.__getitem__, words)) + tail for words in split]
 
 
 @lru_cache(maxsize=2)
