@@ -29,7 +29,7 @@ from tidemark.runtime import cut, prepare, table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
 UPDATES = (10, 100, 1000)
 FULL = ("map_token_count", "wc", "wc_dict", "cw_total", "reduce_by_key", "join_residual", "mergesort_rank", "pagerank_5")
 
