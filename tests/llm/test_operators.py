@@ -372,3 +372,19 @@ def test_pseudonyms_are_a_permutation(spark):
     days = spark.range(2000).select(F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     moved = {r.text for r in pii.pseudonymise(days).collect()}
     assert len(moved) == 2000 and all(re.fullmatch(r"\d{4}-\d\d-\d\d", t) for t in moved)
+
+
+def test_secrets_of_any_case_and_length(spark):
+    rng = random.Random(10)
+    make = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    shouted = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "0" * 11 + "A"] + [make("0123456789ABCDEF", 24) + "F" for _ in range(20)]
+    mixed = ["9233a8ECF7C5b09FE5949719", "0" * 10 + "aA"] + [make("0123456789abcdefABCDEF", 24) + "aF" for _ in range(20)]
+    lower, long = ["b7db7aa4a5fcc78305"], [make("0123456789abcdef", 129), make("0123456789ABCDEF", 3000), make("0123456789abcdefABCDEF", 5000)]
+    values = shouted + mixed + lower + long
+    d = spark.createDataFrame([(i, f'TOKEN = "{v}"!!') for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d, count="n").collect()}
+    out = [re.fullmatch(r'TOKEN = "([0-9A-Fa-f]+)"!!', got[i].text)[1] for i in range(len(values))]
+    kind = lambda v: ("lower" if not re.search("[A-F]", v) else "upper" if not re.search("[a-f]", v) else "mixed")
+    assert all(got[i].n == 1 and out[i] != v and len(out[i]) == len(v) and kind(out[i]) == kind(v) for i, v in enumerate(values) if len(set(v)) > 2)
+    few = spark.createDataFrame([(f"token={v}",) for v in sorted({f"{'1' * 11}{a}{b}" for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF"})], "text string")
+    assert len({r.text for r in pii.pseudonymise(few).collect()}) == few.count() == 22 * 22

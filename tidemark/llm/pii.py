@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DEFAULT_KEY = "tidemark-pseudonyms-1"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-HEX, KEYCHARS = "0123456789abcdef", UPPER + DIGITS
+HEX, UPPER_HEX, KEYCHARS = "0123456789abcdef", "0123456789ABCDEF", UPPER + DIGITS
 #: Dates from 1900-01-01 on, as days; two halves of 270 x 271 days reach to 2100-05-01 and need no second try.
 FIRST_DAY, DAY_SPAN = "1900-01-01", (270, 271)
 
@@ -24,7 +24,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is looked for, in this order at each place. Each alternative starts at a digit, a letter or a plus sign.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Fa-f]{12,}(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "date": r"(?<![\d.\-/])(?:19\d\d|20\d\d)-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d\-/]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
@@ -49,9 +49,10 @@ def _feistel(values: Column, radices: Column, tweak: Column) -> Column:
     def turn(acc: Column, number: Column) -> Column:
         words = F.concat_ws("|", tweak, number.cast("string"), F.array_join(acc["r"].cast("array<string>"), ","))
         blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.size(acc["l"]) - 1) / 16).cast("int")))
-        stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", words, b.cast("string")).cast("binary"), 256)), "")
+        stream = let(words, lambda w: F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", w, b.cast("string")).cast("binary"), 256)))
+        digits = lambda bits, i: F.substring(F.element_at(bits, (i / 16).cast("int") + 1), (i % 16) * 4 + 1, F.lit(4))
         add = lambda bits: F.transform(
-            acc["l"], lambda v, i: ((v + F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 16, 10).cast("int")) % F.element_at(acc["lr"], i + 1)).cast("int")
+            acc["l"], lambda v, i: ((v + F.conv(digits(bits, i), 16, 10).cast("int")) % F.element_at(acc["lr"], i + 1)).cast("int")
         )
         return F.struct(acc["r"].alias("l"), let(stream, add).alias("r"), acc["rr"].alias("lr"), acc["lr"].alias("rr"))
 
@@ -85,22 +86,32 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def _alphabets(kind: Column) -> Column:
-    arrays = {"email": (DIGITS, LOWER, UPPER), "secret": (HEX,), "access_key": (KEYCHARS,)}
-    out = F.array(F.lit(DIGITS))
+def _alphabets(kind: Column, place: Column, apart: Column) -> Column:
+    """Alphabets at a place of a value; a secret keeps digits and the cases of letters apart up to the place ``apart``."""
+    of = lambda *letters: F.array(*map(F.lit, letters))
+    secret = F.when(place <= apart, of(DIGITS, HEX[10:], UPPER_HEX[10:])).when(apart > 0, of(UPPER_HEX)).otherwise(of(HEX))
+    arrays = {"email": of(DIGITS, LOWER, UPPER), "secret": secret, "access_key": of(KEYCHARS)}
+    out = of(DIGITS)
     for k, letters in arrays.items():
-        out = F.when(kind == k, F.array(*map(F.lit, letters))).otherwise(out)
+        out = F.when(kind == k, letters).otherwise(out)
     return out
 
 
 def _free(m: Column, kind: Column) -> Column:
-    """First and last place whose character may move."""
+    """First and last place whose character may move, and the place up to which a secret's alphabets are kept apart.
+
+    A secret in lower case has none. One in upper case has its first letter, which so stays a letter, and one of mixed
+    case all: the three kinds of values go to values of their own kind and never share a pseudonym.
+    """
     n = F.length(m)
-    value = F.length(F.regexp_extract(m, r"([0-9a-f]+)$", 1))
+    hex_value = F.regexp_extract(m, r"([0-9A-Fa-f]+)$", 1)
+    value = F.length(hex_value)
+    head = F.length(F.regexp_extract(hex_value, "^([0-9]*[A-F])[0-9A-F]*$", 1))
+    apart = F.when((kind != "secret") | ~hex_value.rlike("[A-F]"), F.lit(0)).when(head > 0, n - value + head).otherwise(n)
     country = F.length(F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(\-]))?", 1))
     first = F.when(kind == "secret", n - value + 1).when(kind == "access_key", F.lit(5)).when(kind == "phone", country + 1).when(kind == "card", F.lit(2)).otherwise(F.lit(1))
     last = F.when(kind == "email", F.instr(m, "@") - 1).when(kind == "card", n - 1).otherwise(n)
-    return F.struct(first.alias("first"), last.alias("last"))
+    return F.struct(first.alias("first"), last.alias("last"), apart.alias("apart"))
 
 
 def _string(m: Column, kind: Column, key: str) -> Column:
@@ -108,7 +119,7 @@ def _string(m: Column, kind: Column, key: str) -> Column:
 
     def placed(range_: Column) -> Column:
         letter = lambda c, i: F.when(
-            (i + 1).between(range_["first"], range_["last"]), F.try_element_at(F.filter(_alphabets(kind), lambda a: F.instr(a, c) > 0), F.lit(1))
+            (i + 1).between(range_["first"], range_["last"]), F.try_element_at(F.filter(_alphabets(kind, i + 1, range_["apart"]), lambda a: F.instr(a, c) > 0), F.lit(1))
         )
         return F.transform(_chars(m), lambda c, i: F.struct(c.alias("c"), letter(c, i).alias("a")))
 
