@@ -388,3 +388,20 @@ def test_secrets_of_any_case_and_length(spark):
     assert all(got[i].n == 1 and out[i] != v and len(out[i]) == len(v) and kind(out[i]) == kind(v) for i, v in enumerate(values) if len(set(v)) > 2)
     few = spark.createDataFrame([(f"token={v}",) for v in sorted({f"{'1' * 11}{a}{b}" for a in "0123456789abcdefABCDEF" for b in "0123456789abcdefABCDEF"})], "text string")
     assert len({r.text for r in pii.pseudonymise(few).collect()}) == few.count() == 22 * 22
+
+
+def test_cards_anywhere_in_a_run_of_groups(spark):
+    a, b = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    valid = lambda s: sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(re.sub(r"\D", "", s)[::-1])) % 10 == 0
+    assert not valid("2024 4111 1111 1111") and valid("2222 3333 4111 0008") and valid("4111 0008 1111 1119")
+    cases = [(f"2024 {a}", 1), (f"2024 2025 {a} 2021 12.", 1), (f"{a} {b}", 2), (f"2024 {a} {b}", 2), (f"2024-{a.replace(' ', '-')}", 1), (f"{a} 192.168.1.1", 2), (f"{a} 123bob@mail.com", 2), (f"2024 {a} 10.0.0.1", 2), ("1999 2000 2001 2002 2003 2004", 0), ("2222 3333 4111 0008 1111 1119", 2)]
+    d = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(d, count="n").collect()}
+    assert [got[i].n for i in range(len(cases))] == [n for _, n in cases]
+    for i, (text, n) in enumerate(cases):
+        out = got[i].text
+        assert re.sub(r"\d+", "9", out) == re.sub(r"\d+", "9", text) or "bob" in text and "bob@" not in out
+        assert a not in out and b not in out and "4111-1111" not in out and (out == text) == (n == 0)
+    card = re.fullmatch(r"2024 ([\d ]{19})", got[0].text)[1]
+    assert valid(card) and got[2].text.startswith(card) and got[1].text == f"2024 2025 {card} 2021 12." and got[3].text == "2024 " + got[2].text
+    assert "1111 1119" not in got[9].text and "0008 1111" not in got[9].text

@@ -30,7 +30,8 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?\(\d{2,4}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{10,15})(?!\d)",
-    "card": r"(?<![\d.\-])(?:\d{4}[ \-]){3}\d{1,7}(?![\d\-])|(?<![\d.\-])\d{13,19}(?!\d)",
+    # A run of groups stops before what may be an address or an e-mail name; valid spans are looked for inside.
+    "card": r"(?<![\d.\-])(?:\d{4}[ \-]){4,}\d{1,7}(?![\d\-]|\.\d|[A-Za-z0-9._%+\-]{0,63}@)|(?<![\d.\-])(?:\d{4}[ \-]){3}\d{1,7}(?![\d\-])|(?<![\d.\-])\d{13,19}(?!\d)",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -163,15 +164,56 @@ def _date(m: Column, key: str) -> Column:
     return let(F.coalesce(F.datediff(F.try_to_date(m, "yyyy-MM-dd"), first), F.lit(-1)), fresh)
 
 
-def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
-    """The pseudonym of one match of ALL; a match that doesn't validate stays as it is."""
+def _card_runs(m: Column) -> Column:
+    """A run of five or more groups cut into cards, marked ``c``, rests of cards ``r`` and what lies between, ``p``.
+
+    Each start is tried. The first valid span of four groups is a card, then the next one behind it; groups that only a
+    valid span overlapping it holds are a rest, so no valid span stays as it is.
+    """
+
+    def cut(groups: Column) -> Column:
+        valid = F.transform(groups, lambda g, i: (i + 4 <= F.size(groups)) & luhn_valid(F.regexp_replace(F.array_join(F.slice(groups, i + 1, F.lit(4)), ""), r"\D", "")))
+        return let(valid, lambda v: F.filter(F.split(spans(groups, v), r"\|"), lambda x: F.length(x) > 1))
+
+    def spans(groups: Column, valid: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            group, starts = F.element_at(groups, i), F.element_at(valid, i)
+            held = F.exists(F.slice(valid, F.greatest(F.lit(1), i - 3), F.least(F.lit(4), i)), lambda x: x)
+            digits = F.regexp_replace(group, r"\D", "")
+            begun = lambda mark: F.concat(acc["s"], F.lit("|p"), F.regexp_replace(group, r"\d", ""), F.lit(f"|{mark}"), digits)
+            grown = F.when((acc["left"] > 0) | (held & ~starts & (acc["left"] < 0)), F.concat(acc["s"], group)).when(starts, begun("c")).when(held, begun("r")).otherwise(F.concat(acc["s"], F.lit("|p"), group))
+            left = F.when(acc["left"] > 0, acc["left"] - 1).when(starts, F.lit(3)).when(held, F.lit(-1)).otherwise(F.lit(0))
+            return F.struct(grown.alias("s"), left.alias("left"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), F.struct(F.lit("").alias("s"), F.lit(0).alias("left")), step)["s"]
+
+    return let(F.regexp_extract_all(m, F.lit(r"[ \-]?\d+"), F.lit(0)), cut)
+
 
-    def of(kind: Column) -> Column:
-        card_ok = (kind != "card") | luhn_valid(F.regexp_replace(m, r"\D", ""))
-        other = let(_string(m, kind, key), lambda s: F.when(kind == "card", _with_check_digit(s)).otherwise(s))
-        return F.when(kind == "date", _date(m, key)).when(kind == "ip", _ip(m, key)).when(kind.isNotNull() & card_ok, other).otherwise(m)
+def pseudonyms(m: Column, key: str = DEFAULT_KEY) -> Column:
+    """The parts (m, p) of one match of ALL and their pseudonyms; a part that doesn't validate stays as it is.
 
-    return let(kind_of(m), of)
+    All matches but runs of card groups have one part.
+    """
+
+    def of(part: Column) -> Column:
+        text, kind = part["m"], part["kind"]
+        other = let(_string(text, kind, key), lambda s: F.when(kind == "card", _with_check_digit(s)).otherwise(s))
+        p = F.when(kind == "date", _date(text, key)).when(kind == "ip", _ip(text, key)).when(kind.isNotNull() & part["ok"], other).otherwise(text)
+        return F.struct(text.alias("m"), p.alias("p"))
+
+    def whole(kind: Column) -> Column:
+        ok = (kind != "card") | luhn_valid(F.regexp_replace(m, r"\D", ""))
+        return F.array(F.struct(m.alias("m"), kind.alias("kind"), F.coalesce(ok, F.lit(False)).alias("ok")))
+
+    run = F.transform(_card_runs(m), lambda x: F.struct(F.substr(x, F.lit(2)).alias("m"), F.when(x.startswith("c"), "card").when(x.startswith("r"), "rest").alias("kind"), F.lit(True).alias("ok")))
+    parts = F.when(m.rlike(r"^(?:\d{4}[ \-]){4,}\d{1,7}$"), run).otherwise(let(kind_of(m), whole))
+    return F.transform(parts, of)
+
+
+def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
+    """The pseudonym of one match of ALL."""
+    return F.array_join(F.transform(pseudonyms(m, key), lambda x: x["p"]), "")
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, count: str | None = None) -> DataFrame:
@@ -182,11 +224,11 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, co
     """
     t = F.col(text).cast("string")
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ALL), F.lit(0)))
-    pairs = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
+    pairs = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: pseudonyms(m, key))
     staged = docs.withColumn("__tm_pairs", pairs)
     found_any = F.size("__tm_pairs") > 0
     between = F.split(t, ALL, -1)
-    joined = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.try_element_at(F.col("__tm_pairs"), i + 1)["p"], F.lit("")))), "")
+    joined = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.array_join(F.transform(F.try_element_at(F.col("__tm_pairs"), i + 1), lambda x: x["p"]), ""), F.lit("")))), "")
     if count:
-        staged = staged.withColumn(count, F.size(F.filter("__tm_pairs", lambda p: p["m"] != p["p"])))
+        staged = staged.withColumn(count, F.size(F.filter(F.flatten("__tm_pairs"), lambda p: p["m"] != p["p"])))
     return staged.withColumn(text, F.when(found_any, joined).otherwise(t)).drop("__tm_pairs")
