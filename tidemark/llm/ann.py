@@ -182,13 +182,29 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
     return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
+def visited(p: np.ndarray, sizes: np.ndarray, own: list, probes: int, k: int) -> list[list[int]]:
+    """The ``probes`` most probable partitions of each query, and more until they hold ``k`` rows besides its own.
+
+    ``own`` has pairs (partition, rows with the query's id) or None for each query.
+    """
+    order = np.argsort(-p, axis=1, kind="stable")
+    others = np.repeat(sizes[None, : p.shape[1]], len(p), axis=0)
+    for i, pairs in enumerate(own):
+        for part, n in pairs or ():
+            others[i, part] -= n
+    held = np.cumsum(np.take_along_axis(others, order, axis=1), axis=1)
+    needed = np.maximum((held < k).sum(axis=1) + 1, probes)
+    return [o[:c].tolist() for o, c in zip(order, needed)]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (same columns).
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a row never finds its own id.
     Returns query_id, rank (from 1), vec_id, score. Vectors that are null, zero, of another length than most, or
     hold null or non-finite components take no part. A query id that repeats is searched once, with its smallest
-    vector. With k candidates or fewer all are returned if all partitions are visited.
+    vector. A query goes on down its ranked partitions until they hold k rows of other ids: with k candidates or fewer
+    all are returned.
     """
     spark = vectors.sparkSession
     clean = lambda d: d.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -218,14 +234,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             part = net(matrix(b.column(1))).argmax(axis=1) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
+    index = cut(base.mapInArrow(home, "vec_id long, v array<double>, part int"))
+    sizes = np.zeros(m, dtype=np.int64)
+    for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most MOST_PARTITIONS rows
+        sizes[r["part"]] = r["n"]
+    own = index.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id", "part").agg(F.count("*").alias("n"))
+    own = own.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Router.load(shared.value)
         for b in batches:
-            visits = np.argsort(-net(matrix(b.column(1))), axis=1, kind="stable")[:, : net.probes].tolist() if b.num_rows else []
+            visits = visited(net(matrix(b.column(1))), sizes, b.column(2).to_pylist(), net.probes, k) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(visits, pa.list_(pa.int32()))], ["query_id", "q", "visits"])
 
-    index = cut(base.mapInArrow(home, "vec_id long, v array<double>, part int"))
-    routed = cut(asked.mapInArrow(route, "query_id long, q array<double>, visits array<int>")).select("query_id", "q", F.explode("visits").alias("part"))
+    known = asked.join(own, "vec_id", "left").select("vec_id", "v", "own")
+    routed = cut(known.mapInArrow(route, "query_id long, q array<double>, visits array<int>")).select("query_id", "q", F.explode("visits").alias("part"))
     # One row a partition: how many blocks of rows and of queries it takes, so that no task holds more than one of each.
     loads = index.groupBy("part").agg(F.count("*").alias("n")).join(routed.groupBy("part").agg(F.count("*").alias("nq")), "part")
     loads = F.broadcast(cut(loads.select("part", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("nq") / QUERY_ROWS).cast("int").alias("chunks"))))
