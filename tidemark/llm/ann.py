@@ -159,20 +159,36 @@ def exact_products(q: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of a block for each query; equal vectors are ranked once and then unfold by id."""
+    """The k nearest of a block for each query; equal vectors are ranked once and then unfold by id.
+
+    Exact products are taken of every distinct vector whose product may reach the last rank within rounding errors.
+    """
     distinct, place = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, place.reshape(-1)))
     sorted_ids, ends = ids[order], np.cumsum(np.bincount(place.reshape(-1), minlength=len(distinct)))
     starts = ends - np.bincount(place.reshape(-1), minlength=len(distinct))
-    keep = min(len(distinct), k + 1 + 8)
+    # Twice what a product of doubles, added in any order, may be off by, for unit norm of the query.
+    margin = 4 * (x.shape[1] + 2) * np.finfo(np.float64).eps * float(np.sqrt((distinct * distinct).sum(axis=1).max(initial=0)))
+    by_id = np.sort(ids)
+    own_rows = np.searchsorted(by_id, query_ids, "right") - np.searchsorted(by_id, query_ids, "left")
+    first_ids = sorted_ids[starts]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ distinct.T
-        top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-        for i, chosen in enumerate(top):
+        for i, row in enumerate(s):
+            need = k + int(own_rows[a + i])  # so many distinct vectors hold k rows of other ids
+            chosen = np.arange(len(distinct))
+            if need < len(distinct):
+                least = np.partition(row, len(row) - need)[len(row) - need] - margin * float(np.sqrt(q[a + i] @ q[a + i]))
+                chosen = np.flatnonzero(row >= least) if np.isfinite(least) else chosen
             score = exact_products(q[a + i], distinct[chosen])
-            pick = np.concatenate([sorted_ids[starts[c] : min(ends[c], starts[c] + k + 1)] for c in chosen])
-            value = np.repeat(score, np.minimum(ends[chosen] - starts[chosen], k + 1))
+            if need < len(chosen):  # of those that tie for the last rank, the smallest ids
+                last = np.partition(score, len(score) - need)[len(score) - need]
+                tied = np.flatnonzero(score == last)
+                kept = np.concatenate([np.flatnonzero(score > last), tied[np.argsort(first_ids[chosen[tied]], kind="stable")[:need]]])
+                chosen, score = chosen[kept], score[kept]
+            pick = np.concatenate([sorted_ids[starts[c] : min(ends[c], starts[c] + need)] for c in chosen])
+            value = np.repeat(score, np.minimum(ends[chosen] - starts[chosen], need))
             own = pick != query_ids[a + i]
             pick, value = pick[own], value[own]
             best = np.lexsort((pick, -value))[:k]
