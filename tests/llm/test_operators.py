@@ -97,8 +97,10 @@ def test_token_files(docs, empty, tmp_path):
     library = Tokenizer.from_file(WORD)
     for files, name in ((5, "five"), (1, "one")):
         folder = f"file://{tmp_path}/{name}"
-        back = codec.read_files(codec.write_files(docs, folder, WORD, 2, files), folder)
-        got = sorted(codec.with_crc(back).collect(), key=lambda r: r.start)
+        manifest = codec.write_files(docs, folder, WORD, 2, files)
+        got = sorted(codec.read_files(manifest, folder, digest=True).collect(), key=lambda r: r.start)
+        ids = {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in codec.read_files(manifest, folder).collect()}
+        assert ids == {(r.start, r.ids_crc32) for r in got}
         assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i))
         by_id = collections.defaultdict(list)
         for r in docs.collect():
@@ -112,6 +114,21 @@ def test_token_files(docs, empty, tmp_path):
     assert codec.read_files(codec.write_files(empty, folder, WORD, 2, 3), folder).count() == 0
 
 
+def test_vocabularies_that_keep_case_and_white_space_see_whole_texts(docs, tmp_path):
+    library, folder = Tokenizer.from_file(BYTE), f"file://{tmp_path}/bytes"
+    assert codec.word_tokenizer(WORD).by_words and not codec.word_tokenizer(BYTE).by_words
+    got = collections.Counter((r.doc_id, tuple(r.ids)) for r in codec.read_files(codec.write_files(docs, folder, BYTE, 7, 2), folder).collect())
+    assert got == collections.Counter((r.doc_id, (*library.encode(r.text or "", add_special_tokens=False).ids, 7)) for r in docs.collect())
+
+
+def test_words_are_known_over_generations(monkeypatch):
+    monkeypatch.setattr(codec, "WORDS_KEPT", 50)
+    library, tokenizer, rng = Tokenizer.from_file(WORD), codec.WordTokenizer(WORD), random.Random(3)
+    for _ in range(30):
+        batch = [" ".join(rng.choice(["Éa", "xy.", "q-1", "zz!", "ümlaut", "1²"]) + rng.choice("abcdefgh") * rng.randrange(4) for _ in range(20)) for _ in range(3)]
+        assert [np.frombuffer(p, "<u2").tolist() for p in tokenizer.encode_all(batch, 2)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in batch]
+
+
 def test_files_of_another_dictionary_are_refused(docs, tmp_path):
     folder = f"file://{tmp_path}/x"
     path = codec.write_files(docs, folder, WORD, 2, 1).first()["path"]

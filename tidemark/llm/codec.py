@@ -12,13 +12,17 @@ A short document costs one read of its frame: the index gives its place, the dic
 from __future__ import annotations
 
 import bisect
+import gc
 import hashlib
+import json
+import math
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,75 +42,122 @@ SAMPLE_DOCS = 512
 SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 3
-WORDS_KEPT = 500_000
+#: Words that a generation of a worker's table holds, and the bytes that they may take together.
+WORDS_KEPT, WORD_BYTES_KEPT = 400_000, 16 << 20
+#: Bytes of frames that a file is meant for; a table smaller than this for each shuffle partition has one file for each.
+FILE_BYTES = 256 << 20
+LETTER_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts(spec: dict | None, inner: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer, sequences opened."""
+    if spec is None:
+        return []
+    return [x for step in spec[inner] for x in _parts(step, inner)] if spec["type"] == "Sequence" else [spec]
+
+
+def parts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer drops white space and lets no token and no normalizing step reach across it.
+
+    True only of what is known to: each text is composed (NFC) and lower-cased, runs of white space become a blank,
+    and a pattern without white space picks the pieces. Such a text's ids are those of its words, one after another.
+    """
+    steps, cuts = _parts(spec["normalizer"], "normalizers"), _parts(spec["pre_tokenizer"], "pretokenizers")
+    blanks = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
+    picks = bool(cuts) and cuts[0] == {"type": "Split", "pattern": {"Regex": LETTER_PIECES}, "behavior": "Removed", "invert": True}
+    bytes_only = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in cuts[1:])
+    apart = all(not (t["lstrip"] or t["rstrip"] or " " in t["content"]) for t in spec["added_tokens"])
+    lower = {x["type"] for x in steps} >= {"NFC", "Lowercase"}
+    return blanks and picks and bytes_only and apart and lower and spec["post_processor"] is None and not spec["model"].get("dropout")
+
+
+class _Words(dict):
+    """Packed ids of words, learnt when first asked for. Two generations: once one is full, the older goes."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], former: dict[bytes, bytes]):
+        super().__init__()
+        self.learn, self.former, self.held = learn, former, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.former.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self.held += len(word) + len(ids)
+        self[word] = ids
+        return ids
+
+    def turned(self) -> _Words:
+        if len(self) <= WORDS_KEPT and self.held <= WORD_BYTES_KEPT:
+            return self
+        self.former = {}
+        return _Words(self.learn, self)
 
 
 class WordTokenizer:
-    """Whole-text encoding by the tokenizers library for vocabularies that drop white space.
+    """Whole-text encoding by the tokenizers library.
 
-    Such a vocabulary never joins what white space parts, so a text's ids are those of its words, one after
-    another; each distinct word goes through the library once and is then looked up. Words of plain letters, with
-    or without a stop behind them, are put together from their parts, and the library sees the letters of many
-    such words as one text. All other words go through it one by one.
+    Of vocabularies that part texts at white space (``parts_at_spaces``) each distinct word goes through the library
+    once and is then looked up. Words of plain letters, with or without stops behind them, are put together from
+    their parts, so that their letters are seen once whatever their case and stops; such letters are one piece, and
+    the library's model has them at once. With any other vocabulary every text goes through whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._words: dict[bytes, bytes] = {}
-        self._letters: dict[str, bytes] = {}
-        self._stops: dict[str, bytes] = {"": b""}
-        self._plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+        self.by_words = parts_at_spaces(json.loads(self.tokenizer.to_str()))
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._bytes = {i: spell(chr(i))[0][0] for i in range(0xDF, 0x100)}
+        self._merged = self.tokenizer.model.tokenize
+        self._plain = re.compile("([a-zà-öø-ÿ]+)([.,;:!?]*)").fullmatch
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._words = _Words(self._learn, {})
+        self._letters = _Words(self._learn_letters, {})
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def _learn_letters(self, new: list[str]) -> None:
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, at = np.array(e.ids, dtype=self.dtype), np.array(e.word_ids, dtype=np.int64)
-        ends = np.flatnonzero(np.diff(at, append=len(new)) != 0) + 1
-        if len(ends) != len(new):
-            self._letters.update(zip(new, self._each(new)))
-            return
-        raw, width, start = ids.tobytes(), self.dtype.itemsize, 0
-        for word, stop in zip(new, ends.tolist()):
-            self._letters[word] = raw[start * width : stop * width]
-            start = stop
-
-    def _learn(self, new: list[bytes]) -> None:
-        matches = list(map(self._plain, map(bytes.decode, new)))
-        plain = [(raw, m[1].lower(), m[2]) for raw, m in zip(new, matches) if m]
-        letters = {word for _, word, _ in plain}.difference(self._letters)
-        if letters:
-            self._learn_letters(list(letters))
-        for stop in {stop for _, _, stop in plain}.difference(self._stops):
-            self._stops[stop] = self._each([stop])[0]
-        words, known, stops = self._words, self._letters, self._stops
-        for raw, word, stop in plain:
-            words[raw] = known[word] + stops[stop] if stop else known[word]
-        other = [raw for raw, m in zip(new, matches) if not m]
-        words.update(zip(other, self._each([raw.decode("utf-8") for raw in other])))
+        return array(self._code, ids).tobytes()
+
+    def _each(self, word: str) -> bytes:
+        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _learn_letters(self, word: str) -> bytes:
+        return self._pack([t.id for t in self._merged(word if word.isascii() else word.translate(self._bytes))])
+
+    def _learn(self, raw: bytes) -> bytes:
+        # Composing and lower-casing are what the vocabulary does first, so a word may be plain once it is lower-cased.
+        word = raw.decode("utf-8")
+        m = self._plain(word.lower())
+        if not m:
+            return self._each(word)
+        letters, stops = m.groups()
+        ids = self._letters[letters]
+        return ids + self._words_of_stops(stops) if stops else ids
+
+    def _words_of_stops(self, stops: str) -> bytes:
+        ids = self._letters.get(stops)
+        if ids is None:
+            ids = self._letters[stops] = self._each(stops)
+        return ids
 
     def encode_all(self, texts: list[str | None], end: int) -> list[bytes]:
         """Ids of each text followed by ``end``, packed in ``dtype``; a null text has only ``end``."""
-        for kept in (self._words, self._letters, self._stops):
-            if len(kept) > WORDS_KEPT:
-                kept.clear()
-        self._stops[""] = b""
-        known, split = self._words, [t.encode("utf-8").split() if t else [] for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            self._learn(list(new))
         tail = self._pack([end])
-        return [b"".join(map(known.__getitem__, words)) + tail for words in split]
+        if not self.by_words:
+            return [self._pack(e.ids) + tail for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers back to itself, and a collection would walk through all the words
+        try:
+            self._words, self._letters = self._words.turned(), self._letters.turned()
+            known = self._words.__getitem__
+            return [b"".join(map(known, t.encode("utf-8").split())) + tail if t else tail for t in texts]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -118,23 +169,29 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def train_dictionary(docs: DataFrame, vocabulary: str, end: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample of documents; empty for an empty table."""
+def train_dictionary(docs: DataFrame, vocabulary: str, end: int) -> tuple[bytes, float]:
+    """A zstandard dictionary from the serialized ids of a bounded sample of documents; empty for an empty table.
+
+    Beside it, the mean bytes of a sampled document's frame, for laying out files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
-        samples = sorted(ids[:SAMPLE_BYTES] for batch in batches for ids in tokenizer.encode_all(batch.column(0).to_pylist(), end))
-        made = b""
+        whole = sorted(ids for batch in batches for ids in tokenizer.encode_all(batch.column(0).to_pylist(), end))
+        samples = [ids[:SAMPLE_BYTES] for ids in whole]
+        made, mean = b"", 0.0
         if samples:
             try:
                 made = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
             except zstandard.ZstdError:  # too little to train on: the samples themselves serve
                 made = b"".join(samples)[-DICTIONARY_BYTES:]
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["dictionary"])
+            compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(made))
+            mean = sum(len(compressor.compress(ids)) for ids in whole) / len(whole)
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary()), pa.array([mean])], ["dictionary", "mean"])
 
     chosen = rows_of(docs.select("doc_id", "text"), sample_keys(docs, "doc_id", SAMPLE_DOCS, 5), "doc_id")
-    made = chosen.select("text").repartition(1).mapInArrow(run, "dictionary binary").collect()
-    return bytes(made[0]["dictionary"]) if made else b""
+    made = chosen.select("text").repartition(1).mapInArrow(run, "dictionary binary, mean double").collect()
+    return (bytes(made[0]["dictionary"]), made[0]["mean"]) if made else (b"", 0.0)
 
 
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -144,8 +201,15 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw, dict_type=kind)
 
 
-def _bounds(docs: DataFrame, files: int) -> list[int]:
-    """Ids that part the table into ``files`` ranges of about as many rows each; reads the id column only."""
+def _bounds(docs: DataFrame, files: int | None, mean: float) -> list[int]:
+    """Ids that part the table into ranges of about as many rows each; reads the id column only.
+
+    Without ``files``, frames of ``mean`` bytes give as many as keep a file at FILE_BYTES, and one for each shuffle
+    partition at least.
+    """
+    if files is None:
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        files = max(least, math.ceil(docs.count() * mean / FILE_BYTES))
     if files < 2:
         return []
     shares = [i / files for i in range(1, files)]
@@ -165,14 +229,13 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end: int, files:
     equal ids in the order of their frames; an empty table writes no file.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = train_dictionary(docs, vocabulary, end)
+    raw, mean = train_dictionary(docs, vocabulary, end)
     digest = hashlib.sha256(raw).digest()
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary.zdict") as out:
         out.write(raw)
-    bounds = _bounds(docs, files)
+    bounds = _bounds(docs, files, mean)
     shared = spark.sparkContext.broadcast(raw)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +310,22 @@ def open_file(fs: pafs.FileSystem, path: str, raw: bytes):
     return keys, valid, counts, fetch
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
+def read_files(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """Read every file of a manifest back: doc_id, start, n_tokens, ids (array<int>), in the files' order.
 
-    ``start`` counts the ids of all documents before, across files.
+    ``start`` counts the ids of all documents before, across files. With ``digest`` there is, instead of the ids,
+    ``ids_crc32``: the CRC-32 of what was read, as little-endian unsigned 32-bit integers.
     """
     before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     placed = manifest.select("file", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     count = max(1, manifest.count())
 
+    def column(ids: list[np.ndarray]) -> pa.Array:
+        if digest:
+            return pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         with fs.open_input_stream(f"{root}/dictionary.zdict") as f:
@@ -265,31 +335,11 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 keys, valid, counts, fetch = open_file(fs, path, raw)
                 starts = base + np.concatenate([[0], np.cumsum(counts[:-1], dtype=np.int64)])
                 for a in range(0, len(keys), 256):
-                    some = range(a, min(a + 256, len(keys)))
-                    ids = [fetch(i) for i in some]
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                    b = min(a + 256, len(keys))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[some.start : some.stop], mask=valid[some.start : some.stop] == 0),
-                            pa.array(starts[some.start : some.stop]),
-                            pa.array(counts[some.start : some.stop].astype(np.int64)),
-                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
+                        [pa.array(keys[a:b], mask=valid[a:b] == 0), pa.array(starts[a:b]), pa.array(counts[a:b].astype(np.int64)), column([fetch(i) for i in range(a, b)])],
+                        ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                     )
 
     spread = placed.repartitionById(count, F.expr(f"cast(file % {count} as int)")).select("path", "base")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def with_crc(read: DataFrame) -> DataFrame:
-    """Replace the ids of ``read_files`` by their CRC-32 as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            values, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>"))

@@ -39,11 +39,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.codec import read_files, with_crc, write_files
+    from tidemark.llm.codec import read_files, write_files
 
     folder = f"{scratch_dir(prepare(spark))}/tokens/{uuid.uuid4().hex}"
     manifest = write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), end=2)
-    return with_crc(read_files(manifest, folder))
+    return read_files(manifest, folder, digest=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
