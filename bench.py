@@ -29,7 +29,7 @@ from tidemark.runtime import cut, prepare, table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "1"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 UPDATES = (10, 100, 1000)
 FULL = ("map_token_count", "wc", "wc_dict", "cw_total", "reduce_by_key", "join_residual", "mergesort_rank", "pagerank_5")
 
@@ -94,6 +94,7 @@ def main() -> None:
             for n in UPDATES:
                 t.put_all(change(n))
                 note(f"{name}_update_{n}", timed(session.propagate))
+            session.close()
     mean = {k: round(statistics.mean(v), 3) for k, v in times.items()}
     std = {k: round(statistics.pstdev(v), 3) for k, v in times.items()}
     even = {}

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import jsplit
 from tidemark.operators import graph
-from tidemark.operators.agg import avg_of, count_of, max_of, opaque, sum_of
+from tidemark.operators.agg import avg_of, count_of, group_of, max_of, opaque, sum_of
+from tidemark.operators import store
+from tidemark.plans import experiment
 from tidemark.plans.session import Session
 
 SCHEMA = "key long, value long"
@@ -71,6 +73,8 @@ def build(s, f, right):
         "join": f.join(right, "key", "value > other"),
         "chunks": f.chunk_map("key div 4", count_of("n"), max_of("top", "value")),
         "distinct": f.distinct("value"),
+        "group": f.map_values(g="key % 3").reduce_by_key("g", group_of("x", "value", "bit_xor({})", zero="0L"), drop_initial="x"),
+        "lookup": right.get(f.filter("value > 9"), "key"),
         "both": f.merge(f.filter("value > 5")),
     }
 
@@ -159,3 +163,82 @@ def test_maintained_pagerank(spark):
         assert got.keys() == want.keys()
         assert all(abs(got[n] - want[n]) < 1e-9 for n in want)
     assert "pagerank" in s.dot()
+
+
+def test_a_repeated_key_is_refused(spark):
+    s = Session(spark)
+    with pytest.raises(ValueError):
+        s.create_table("t", "key", pairs(spark, [(1, 1), (1, 2)]))
+
+
+def test_large_state_is_read_by_folder(spark, monkeypatch):
+    """With many folders, a lookup of a few keys filters on folders, and results stay right while steps merge and fold."""
+    monkeypatch.setattr(store.KeyedStore.__init__, "__defaults__", (None, 64))
+    monkeypatch.setattr(store, "MERGE_AFTER", 2)
+    s = Session(spark)
+    now = {k: k % 50 for k in range(400)}
+    t = s.create_table("t", "key", pairs(spark, now.items()))
+    assert t.store.buckets > 8
+    frame = s.frame(t).map_values(g="key % 100").reduce_by_key("g", sum_of("n", "value"))
+    out = s.run(frame)
+    assert frame.store.buckets > 1
+    for step in range(7):
+        keys = [(step * 7) % 400, 400 + step]
+        t.put_all(pairs(spark, [(k, 1000 + step) for k in keys]))
+        t.remove_all(pairs(spark, [(step * 11 + 1, 0)]))
+        now |= {k: 1000 + step for k in keys}
+        now.pop(step * 11 + 1, None)
+        s.propagate()
+        want = {}
+        for k, v in now.items():
+            want[k % 100] = want.get(k % 100, 0) + v
+        assert dict(rows(out.df())) == want and rows(t.df()) == sorted(now.items(), key=repr)
+        found = t.lookup(pairs(spark, [(7, 0), (399, 0)]))
+        assert rows(found) == sorted(((k, now[k]) for k in (7, 399) if k in now), key=repr)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert t.store.buckets == 1 or "PartitionFilters: [_bucket" in plan
+
+
+def test_the_same_graph_gives_the_same_result(spark):
+    s = Session(spark)
+    f = s.frame(s.create_table("t", "key", pairs(spark, [(1, 1)])))
+    make = lambda: f.filter("value > 0").reduce_by_key("value", count_of("n"))
+    assert s.run(make()) is s.run(make())
+    assert s.run(f.filter("value > 1").reduce_by_key("value", count_of("n"))) is not s.run(make())
+    column = F.col("value") > 0
+    assert s.run(f.filter(column)) is s.run(f.filter(column)) and s.run(f.filter(F.col("value") > 0)) is not s.run(f.filter(column))
+
+
+def test_closing_deletes_what_was_written(spark):
+    s = Session(spark)
+    t = s.create_table("t", "key", pairs(spark, [(1, 1)]))
+    files = t.df().inputFiles()
+    assert s.folder in files[0]
+    s.close()
+    assert not __import__("os").path.exists(files[0].removeprefix("file://"))
+
+
+def test_pagerank_of_repeated_edges_births_and_deaths(spark):
+    s = Session(spark)
+    edges = {1: (0, 1), 2: (0, 1), 3: (1, 2), 4: (2, 0), 5: (7, 0)}
+    as_df = lambda es: spark.createDataFrame([(i, *e) for i, e in es.items()], "id long, src long, dst long")
+    t = s.create_table("e", "id", as_df(edges))
+    out = s.run(graph.PageRank(s.frame(t), 4))
+    for gone, new in (([2, 5], {}), ([], {6: (9, 9), 7: (2, 0)}), ([1, 3, 4, 6, 7], {8: (5, 6)}), ([8], {}), ([], edges)):
+        if gone:
+            t.remove_all(as_df({i: (0, 0) for i in gone}))
+        if new:
+            t.put_all(as_df(new))
+        edges = {i: e for i, e in (edges | new).items() if i not in gone}
+        s.propagate()
+        want = dict(rows(graph.pagerank(as_df(edges).select("src", "dst"), 4)))
+        got = dict(rows(out.df()))
+        assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_experiment_table(spark):
+    base = pairs(spark, [(i, i % 3) for i in range(20)])
+    build = lambda f, chunk: f.chunk_map(f"key div {chunk}", count_of("n"))
+    found = list(experiment.sweep(spark, base, "key", lambda n: base.limit(n), build, {"partitions": [1, 2], "chunk": [4], "update": [2]}, repeats=1))
+    lines = experiment.as_table(found).splitlines()
+    assert [r["partitions"] for r in found] == [1, 2] and len(lines) == 3 and lines[0].startswith("partitions\tchunk\tupdate\tnaive_mean")

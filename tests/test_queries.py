@@ -9,15 +9,11 @@ import pytest
 from conftest import SF
 from tidemark.queries import QUERIES, SQL
 
-#: Maintained and streamed results take many small jobs; these stand for the rest, which the same code serves.
-SLOW = {n for n in QUERIES if n.startswith(("inc_", "stream_"))} - {"inc_wc_dict", "inc_join", "inc_last_put_wins", "stream_adjacency"}
-
-
 def plain(v):
     return round(v, 5) if isinstance(v, float) and math.isfinite(v) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):

@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.delta import DIFF, consolidate, negate, restrict, signed, union
+from tidemark.operators.delta import DIFF, nullsafe, union
+from tidemark.operators.store import NEW, OLD, KeyedStore, change_of, packed
 from tidemark.plans.frame import Frame, Stateful
 from tidemark.runtime import cut
 
 BASE, DAMPING = 0.15, 0.85
-#: Share of all nodes that a step's change may touch before the rest of the steps is done in full.
-FULL_FROM = 0.3
-FOLD_AFTER = 6
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -96,10 +94,11 @@ def column_pagerank(edges: DataFrame, steps: int) -> DataFrame:
 class PageRank(Stateful):
     """Ranks of the edges (src, dst) of a frame, maintained.
 
-    The ranks after each step are additive state: (node, r, n), where n counts the node's presence. A change touches,
-    step by step, the sources whose rank or edges changed; their old contributions are taken away and their new ones
-    added. Once a change reaches a large share of the nodes, the remaining steps are cheaper in full. Changes no
-    larger than ``epsilon`` aren't passed on.
+    State are the edges with their multiplicity, by source, and one row a node: its edges out, its presence ``n`` (ends
+    of edges that lie there) and its rank after every step. A change touches, step by step, the sources whose rank or
+    edges changed: their edges are read, and what they pass on now less what they passed on before is added to the ranks
+    of the nodes they point to. Nothing is done for the others. When most of the graph changes, that costs about twice
+    a run from scratch. Changes no larger than ``epsilon`` aren't passed on.
     """
 
     op = "pagerank"
@@ -107,68 +106,87 @@ class PageRank(Stateful):
     def __init__(self, edges: Frame, steps: int, epsilon: float = 0.0):
         super().__init__(edges)
         self.steps, self.epsilon = steps, epsilon
-        self.state: list[list[DataFrame]] = []
+        self.ranks = [f"r{i}" for i in range(1, steps + 1)]
+        self.edges: KeyedStore | None = None
+
+    def _does(self):
+        return repr((self.steps, self.epsilon))
+
+    def _shown(self, nodes: DataFrame) -> DataFrame:
+        return nodes.select("node", F.col(self.ranks[-1]).alias("rank"))
 
     def full(self, version="new"):
-        if self.given:
-            return self._stored(version)
+        if self.store:
+            return self._shown(self.store.rows(version))
         return pagerank(self.children[0].full(version).select("src", "dst"), self.steps)
 
-    def initialise(self) -> None:
-        super().initialise()
-        if not self.given:
-            self._rebuild()
-            self.given = [cut(signed(self._read(self.state[-1])))]
-            self.before = list(self.given)
+    def at(self, keys, on, version="new"):
+        return self._shown(self.store.lookup(keys, on, version)) if self.store and on == ["node"] else super().at(keys, on, version)
 
-    def _rebuild(self) -> None:
+    def _build(self):
         edges = self.children[0].full().select("src", "dst")
-        self.state = [[ranks.select("node", F.col("rank").alias("r"), F.lit(1).cast("long").alias("n"))] for ranks in pagerank_steps(edges, self.steps)]
-
-    @staticmethod
-    def _ranks(parts: list[DataFrame], keys: DataFrame) -> DataFrame:
-        found = union(*(restrict(p, keys, ["node"]) for p in parts))
-        return found.groupBy("node").agg(F.sum("r").alias("rank"), F.sum("n").alias("n")).filter("n > 0").select("node", "rank")
-
-    def _contributions(self, edges: DataFrame, ranks: DataFrame) -> DataFrame:
-        deg = edges.groupBy(F.col("src").alias("d_src")).agg(F.count("*").alias("deg"))
-        return edges.join(deg, F.col("src") == F.col("d_src")).join(ranks, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (DAMPING * F.col("rank") / F.col("deg")).alias("r"))
+        self.edges = KeyedStore(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), ["src", "dst"], ["src"])
+        known = self.edges.rows()
+        weighted = cut(known.join(known.groupBy("src").agg(F.sum("m").alias("deg")), "src").select("src", "dst", (DAMPING * F.col("m") / F.col("deg")).alias("w")))
+        ends = known.select(F.col("src").alias("node"), F.col("m").alias("deg"), F.col("m").alias("n")).unionByName(known.select(F.col("dst").alias("node"), F.lit(0).cast("long").alias("deg"), F.col("m").alias("n")))
+        nodes = cut(ends.groupBy("node").agg(F.sum("deg").alias("deg"), F.sum("n").alias("n")))
+        last = nodes.select("node", F.lit(1.0).alias("rank"))
+        out = nodes
+        for r in self.ranks:
+            last = cut(_next(weighted, nodes, last))
+            out = out.join(last.withColumnRenamed("rank", r), "node")
+        return KeyedStore(out.select("node", "deg", "n", *self.ranks), ["node"])
 
     def _change(self, changes, step):
-        moved = cut(changes[0].select("src", "dst", DIFF))
-        old_edges, new_edges = (self.children[0].full(v).select("src", "dst") for v in ("old", "new"))
-        ends = cut(nodes_of(moved))
-        present = lambda e: e.select(F.explode(F.array("src", "dst")).alias("node")).join(ends, "node", "left_semi").distinct()
-        births = cut(consolidate(negate(signed(present(old_edges))).unionByName(signed(present(new_edges)))))
-        total = self.state[0][0].count()
-        sources = moved.select(F.col("src").alias("node"))
-        change = cut(births.select("node", F.col(DIFF).cast("double").alias("r"), F.col(DIFF).alias("n")))
-        deltas = [change]
-        old = self.state
-        for i in range(self.steps):
-            affected = cut(change.select("node").union(sources).distinct())
-            if affected.count() > FULL_FROM * max(total, 1):
-                self._rebuild()
-                return self._give(self._read(self.state[-1]), affected, [])
-            of = lambda e, ranks: self._contributions(e.join(affected.withColumnRenamed("node", "src"), "src", "left_semi"), ranks)
-            gone = of(old_edges, self._ranks(old[i], affected)).withColumn("r", -F.col("r"))
-            come = of(new_edges, self._ranks([*old[i], change], affected))
-            passed = gone.unionByName(come).withColumn("n", F.lit(0).cast("long"))
-            base = births.select("node", (BASE * F.col(DIFF)).alias("r"), F.col(DIFF).alias("n"))
-            change = passed.unionByName(base).groupBy("node").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
-            change = cut(change.filter((F.abs("r") > self.epsilon) | (F.col("n") != 0)))
-            deltas.append(change)
-        last = deltas[-1]
-        new = self._ranks([*old[-1], last], last)
-        self.state = [self._fold([*parts, d]) for parts, d in zip(old, deltas)]
-        return self._give(new, last, ["node"])
-
-    @staticmethod
-    def _fold(parts: list[DataFrame]) -> list[DataFrame]:
-        if len(parts) <= FOLD_AFTER:
-            return parts
-        return [cut(union(*parts).groupBy("node").agg(F.sum("r").alias("r"), F.sum("n").alias("n")).filter("n > 0"))]
-
-    @staticmethod
-    def _read(parts: list[DataFrame]) -> DataFrame:
-        return union(*parts).groupBy("node").agg(F.sum("r").alias("rank"), F.sum("n").alias("n")).filter("n > 0").select("node", "rank")
+        edges, store = self.edges, self.store
+        moved = cut(changes[0].groupBy("src", "dst").agg(F.sum(DIFF).alias("d")).filter("d <> 0"))
+        kept = edges.lookup(moved, ["src", "dst"]).selectExpr("src as e_src", "dst as e_dst", "m")
+        both = moved.join(kept, nullsafe(["src", "dst"], ["e_src", "e_dst"]), "left").selectExpr("src", "dst", "m", "cast(coalesce(m, 0) + d as long) as m_new")
+        links = edges.apply(cut(both.selectExpr("src", "dst", f"if(m > 0, struct(true as _here, m), null) as {OLD}", f"if(m_new > 0, struct(true as _here, m_new as m), null) as {NEW}")))
+        if links is None:
+            return None
+        # What lies beside a node before this change; where the store is one folder it is planned once for all steps.
+        former = lambda rows: rows.select(F.col("node").alias("k"), packed(store.values).alias(OLD))
+        everything = former(store.rows()) if store.buckets == 1 else None
+
+        def with_old(nodes: DataFrame) -> DataFrame:
+            if everything is not None:
+                return nodes.join(everything, F.col("node") == F.col("k"), "left")
+            nodes = cut(nodes)
+            return nodes.join(former(store.lookup(nodes, ["node"])), F.col("node") == F.col("k"), "left")
+
+        # Nodes whose edges changed: their new number of edges out and their presence. The ranks come later.
+        ends = moved.selectExpr("inline(array(struct(src as node, d as d_deg, d as d_n), struct(dst as node, 0L as d_deg, d as d_n)))").groupBy("node").agg(F.sum("d_deg").alias("d_deg"), F.sum("d_n").alias("d_n"))
+        born = cut(with_old(ends).selectExpr("node", OLD, f"cast(coalesce({OLD}.deg, 0) + d_deg as long) as deg", f"cast(coalesce({OLD}.n, 0) + d_n as long) as n"))
+        asked = born.selectExpr("node", "0D as d", "true as must")
+        counts = born.selectExpr("node as b_node", "deg", "n")
+        relinked = links.selectExpr("src", "dst", f"coalesce({NEW}.m, 0) - coalesce({OLD}.m, 0) as dm")
+        former_edges = edges.rows("old") if edges.buckets == 1 else None
+        # (node, _old, deg, n, rank) of the nodes whose edges or whose rank after a step changed; at first ranks are 1.
+        acting, moves = born.withColumn("rank", F.lit(1.0)), []
+        for i in range(1, self.steps + 1):
+            was = f"{OLD}.r{i - 1}" if i > 1 else "1D"
+            passing = acting.selectExpr(
+                "node as src",
+                f"coalesce(if({OLD}.deg > 0, {DAMPING} * {was} / {OLD}.deg, 0D), 0D) as w_old",
+                f"coalesce(if(coalesce(n, {OLD}.n) > 0 and coalesce(deg, {OLD}.deg) > 0, {DAMPING} * rank / coalesce(deg, {OLD}.deg), 0D), 0D) as w_new",
+            )
+            reached = edges.lookup(acting.selectExpr("node as src"), ["src"], "old") if former_edges is None else former_edges
+            told = reached.join(passing, "src").selectExpr("dst as node", "m * (w_new - w_old) as d", "false as must")
+            told = told.unionByName(relinked.join(passing, "src").selectExpr("dst as node", "dm * w_new as d", "false as must")).unionByName(asked)
+            touched = told.groupBy("node").agg(F.sum("d").alias("d"), F.bool_or("must").alias("must")).filter((F.abs("d") > self.epsilon) | F.col("must"))
+            acting = cut(with_old(touched).join(counts, F.col("node") == F.col("b_node"), "left").selectExpr("node", OLD, "deg", "n", f"coalesce({OLD}.r{i}, {BASE}D) + d as rank"))
+            moves.append(acting)
+        return self._settle(moves)
+
+    def _settle(self, moves: list[DataFrame]) -> DataFrame | None:
+        """Write the new rows of all nodes that any step touched, and give the change of the ranks."""
+        values = self.store.values
+        parts = [m.selectExpr("node", OLD, "deg", "n", *(f"{'rank' if j == i else 'cast(null as double)'} as {r}" for j, r in enumerate(self.ranks))) for i, m in enumerate(moves)]
+        merged = union(*parts).groupBy("node").agg(F.first(OLD, ignorenulls=True).alias(OLD), *(F.max(c).alias(c) for c in values))
+        filled = merged.selectExpr("node", OLD, *(f"coalesce({c}, {OLD}.{c}) as {c}" for c in values))
+        step = self.store.apply(cut(filled.select("node", OLD, F.when(F.col("n") > 0, packed(values)).alias(NEW)).filter(f"{OLD} is not null or {NEW} is not null")))
+        if step is None:
+            return None
+        shown = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.lit(True).alias("_here"), F.col(f"{x}.{self.ranks[-1]}").alias("rank"))).alias(x)
+        return change_of(step.select("node", shown(OLD), shown(NEW)), ["node"], ["rank"])

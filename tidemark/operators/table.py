@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, signed, union
+from tidemark.operators.delta import DIFF, nullsafe
+from tidemark.operators.store import NEW, OLD, KeyedStore, change_of, packed
 from tidemark.runtime import cut
 
-#: A table's changes are folded into its base once there are this many, so reads stay a few files wide.
-FOLD_AFTER = 8
-
 
 class KeyedTable:
     """A versioned collection of rows with unique keys.
 
     ``put_all`` and ``remove_all`` queue changes; ``advance`` turns the queue into one change (rows with ``_diff``),
     written once, and moves the table from its old to its new version. Of several puts of a key the last wins; a put
-    after a removal puts. ``defaults`` fill the columns that a put or ``put_in`` of a new key leaves out.
+    after a removal puts. ``defaults`` fill the columns that a put or ``put_in`` of a new key leaves out. A key that
+    repeats in ``initial`` raises ValueError; ``trusted`` leaves that check out.
     """
 
-    def __init__(self, spark: SparkSession, name: str, key: list[str] | str, initial: DataFrame, defaults: dict[str, object] | None = None):
+    def __init__(self, spark: SparkSession, name: str, key: list[str] | str, initial: DataFrame, defaults: dict[str, object] | None = None, trusted: bool = False):
         self.spark, self.name = spark, name
         self.key = [key] if isinstance(key, str) else list(key)
         self.defaults = defaults or {}
         self.schema = initial.schema
         self.values = [c for c in initial.columns if c not in self.key]
-        self.base = initial.select(*self.key, *self.values)
-        self.changes: list[DataFrame] = []
-        self.previous: list[DataFrame] = []
+        self.store = KeyedStore(initial.select(*self.key, *self.values), self.key)
+        if not trusted and self.store.base.groupBy(*self.key).count().filter("count > 1").limit(1).count():
+            raise ValueError(f"{name}: a key occurs more than once in the initial rows")
         self.version = 0
         self._queue: list[DataFrame] = []
 
@@ -61,7 +60,8 @@ class KeyedTable:
     def remove_all(self, keys: DataFrame, strict: bool = False) -> None:
         """Delete by key, whatever the values. ``strict`` raises KeyError if a key is in no row of the current version."""
         if strict:
-            missing = keys.select(*self.key).join(self.df().select(*self.key), self.key, "left_anti")
+            asked = cut(keys.select(*self.key))
+            missing = asked.join(self.lookup(asked).select(*self.key), self.key, "left_anti")
             if missing.limit(1).count():
                 raise KeyError(f"{self.name}: a key to remove isn't there")
         self._enqueue(keys.select(*self.key), "remove")
@@ -76,71 +76,57 @@ class KeyedTable:
 
     # -- versions -----------------------------------------------------------------------------------------------
 
-    def _at(self, changes: list[DataFrame]) -> DataFrame:
-        """Rows of the base whose keys no change names, and what the changes make of the others.
-
-        Keys are unique, so the base needn't be added up with the changes: it is read past the few changed keys.
-        """
-        if not changes:
-            return self.base
-        keys = union(*(c.select(*self.key) for c in changes)).distinct()
-        named = keys.select(*(F.col(k).alias(f"_k_{k}") for k in self.key))
-        untouched = self.base.join(named, nullsafe(self.key, [f"_k_{k}" for k in self.key]), "left_anti")
-        touched = consolidate(union(signed(restrict(self.base, keys, self.key)), *changes))
-        return untouched.unionByName(touched.filter(F.col(DIFF) > 0).drop(DIFF))
-
     def df(self, version: str = "new") -> DataFrame:
         """The rows of the current version, or of the one before the last ``advance``."""
-        return self._at(self.changes if version == "new" else self.previous)
-
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """Current rows of some keys: only those keys' rows of the base are read and added up."""
-        found = union(*(restrict(p, keys, self.key) for p in (signed(self.base), *self.changes)))
-        return consolidate(found).filter(F.col(DIFF) > 0).drop(DIFF)
+        return self.store.rows(version)
+
+    def lookup(self, keys: DataFrame, version: str = "new") -> DataFrame:
+        """Rows of some keys: only the folders that these keys hash to are read."""
+        return self.store.lookup(keys, self.key, version)
+
+    def _merged_queue(self, queue: DataFrame) -> DataFrame:
+        """One row a key: whether it was last put or removed, whether a removal came first, and the fields given since."""
+        at = F.struct("_batch", "_order")
+        last = F.max_by("_op", at).alias("_last")
+        gone = F.max(F.when(F.col("_op") == "remove", at))
+        if len(self._queue) == 1:  # puts of one batch alone, or removals alone
+            fields = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("_given", c), at)).alias(f"_put_{c}") for c in self.values]
+            return queue.groupBy(*self.key).agg(last, F.lit(False).alias("_cleared"), *fields)
+        live = queue.withColumn("_gone", gone.over(Window.partitionBy(*self.key))).withColumn("_live", F.col("_gone").isNull() | (at > F.col("_gone")))
+        fields = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col("_live") & F.array_contains("_given", c), at)).alias(f"_put_{c}") for c in self.values]
+        return live.groupBy(*self.key).agg(last, F.bool_or(F.col("_gone").isNotNull()).alias("_cleared"), *fields)
 
     def advance(self) -> DataFrame | None:
-        """Turn queued puts and removals into one written change; None if nothing changes."""
-        self.previous = list(self.changes)
+        """Turn queued puts and removals into one written change; None if nothing changes.
+
+        What is there under the queued keys is looked up, each key's old and new row are written side by side, and the
+        signed change is read from that.
+        """
+        self.store.before = (self.store.base, list(self.store.steps))
         if not self._queue:
             return None
         queue = self._queue[0]
         for q in self._queue[1:]:
             queue = queue.unionByName(q)
-        self._queue = []
         queue = cut(queue)
-        last = Window.partitionBy(*self.key).orderBy(F.desc("_batch"), F.desc("_order"))
-        old = self.lookup(queue)
-        # Fields given since the last removal, latest first; what was never given stays or takes its default.
-        gone = F.max(F.when(F.col("_op") == "remove", F.struct("_batch", "_order"))).over(Window.partitionBy(*self.key))
-        live = queue.withColumn("_gone", gone).withColumn("_live", F.col("_gone").isNull() | (F.struct("_batch", "_order") > F.col("_gone")))
-        pick = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col("_live") & F.array_contains("_given", c), F.struct("_batch", "_order")))
-        merged = (
-            live.withColumn("_rank", F.row_number().over(last))
-            .groupBy(*self.key)
-            .agg(F.max(F.when(F.col("_rank") == 1, F.col("_op"))).alias("_last"), F.bool_or(F.col("_gone").isNotNull()).alias("_cleared"), *(pick(c).alias(f"_new_{c}") for c in self.values))
-        )
-        prior = old.select(*(F.col(c).alias(f"_old_{c}") for c in self.schema.fieldNames()), F.lit(True).alias("_was"))
-        both = merged.filter("_last = 'put'").join(prior, nullsafe(self.key, [f"_old_{k}" for k in self.key]), "left")
-        keep = F.coalesce(F.col("_was"), F.lit(False)) & ~F.col("_cleared")
-        field = lambda c: F.when(F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}.v")).when(keep, F.col(f"_old_{c}")).otherwise(F.lit(self.defaults.get(c)).cast(self.schema[c].dataType))
-        new = both.select(*self.key, *(field(c).alias(c) for c in self.values))
-        change = cut(consolidate(negate(signed(old)).unionByName(signed(new))))
-        if not change.limit(1).count():
+        merged, self._queue = self._merged_queue(queue), []
+        prior = self.lookup(queue).select(*(F.col(k).alias(f"_k_{k}") for k in self.key), packed(self.values).alias(OLD))
+        both = merged.join(prior, nullsafe(self.key, [f"_k_{k}" for k in self.key]), "left")
+        keep = F.col(OLD).isNotNull() & ~F.col("_cleared")
+        field = lambda c: F.when(F.col(f"_put_{c}").isNotNull(), F.col(f"_put_{c}.v")).when(keep, F.col(f"{OLD}.{c}")).otherwise(F.lit(self.defaults.get(c)).cast(self.schema[c].dataType))
+        new = F.when(F.col("_last") == "put", F.struct(F.lit(True).alias("_here"), *(field(c).alias(c) for c in self.values)))
+        step = self.store.apply(cut(both.select(*self.key, OLD, new.alias(NEW)).filter(~F.col(OLD).eqNullSafe(F.col(NEW)))))
+        if step is None:
             return None
-        self.changes.append(change)
         self.version += 1
-        if len(self.changes) > FOLD_AFTER:
-            # The old version stays readable: it is the new base less the last change.
-            self.base, self.changes = cut(self._at(self.changes)), []
-            self.previous = [negate(change)]
-        return change
+        return change_of(step, self.key, self.values)
 
     @property
     def pending(self) -> bool:
         return bool(self._queue)
 
     def columns(self) -> list[str]:
-        return data_columns(self.base)
+        return [*self.key, *self.values]
 
 
 __all__ = ["DIFF", "KeyedTable"]

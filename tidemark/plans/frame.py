@@ -2,7 +2,9 @@
 
 Every node can build its full result as one DataFrame plan (``full``) and the change of its result as another
 (``delta``), from the changes of its inputs. Both are ordinary plans that Catalyst optimises; nothing is traced per
-row. ``full("old")`` is the result over the versions before the last step, which joins and recomputed groups need.
+row. ``full("old")`` is the result over the versions before the last step, and ``at`` the part of a result under
+some keys, which joins and recomputed groups need: where a table or a reduction is keyed by them, only the folders of its
+state that hold these keys are read.
 """
 
 from __future__ import annotations
@@ -11,14 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.agg import AggSpec
-from tidemark.operators.delta import DIFF, consolidate, data_columns, negate, nullsafe, restrict, rows, signed, union
+from tidemark.operators.delta import DIFF, data_columns, negate, nullsafe, restrict, signed, union
+from tidemark.operators.store import NEW, OLD, KeyedStore, change_of, packed
 from tidemark.operators.table import KeyedTable
 from tidemark.runtime import cut
 
 #: Hash buckets of a global reduction without inverse: a change recomputes the buckets it touches.
 BUCKETS = 64
-#: Additive state is folded into one table after this many changes.
-FOLD_AFTER = 8
+
+
+def _text(*exprs: Column | str) -> str:
+    """What tells expressions apart: the text of a string, the object itself of a column."""
+    return repr([e if isinstance(e, str) else f"column@{id(e)}" for e in exprs])
 
 
 class Frame:
@@ -38,19 +44,19 @@ class Frame:
     def _change(self, changes: list[DataFrame | None], step: int) -> DataFrame | None:
         raise NotImplementedError
 
+    def at(self, keys: DataFrame, on: list[str], version: str = "new") -> DataFrame:
+        """Rows of ``full`` whose columns ``on`` are among those of the written table ``keys``."""
+        return restrict(self.full(version), keys, on)
+
     # -- shared -------------------------------------------------------------------------------------------------
 
     def delta(self, step: int) -> DataFrame | None:
         """Change of this node in a step; computed once a step, None if no input changed."""
         if self._step[0] != step:
             changes = [c.delta(step) for c in self.children]
-            self._begin()
             self._step = (step, None if all(c is None for c in changes) and self.children else self._change(changes, step))
         return self._step[1]
 
-    def _begin(self) -> None:
-        """Called once a step, before the node's own change."""
-
     def initialise(self) -> None:
         """Build whatever state the node keeps, children first."""
         for c in self.children:
@@ -65,30 +71,39 @@ class Frame:
     def describe(self) -> str:
         return self.op
 
+    def fingerprint(self) -> str:
+        """The same for graphs that do the same on the same tables; of a node that can't tell, its own."""
+        mine = self._does()
+        return f"{type(self).__name__}@{id(self)}" if mine is None else f"{type(self).__name__}({mine}; {', '.join(c.fingerprint() for c in self.children)})"
+
+    def _does(self) -> str | None:
+        return None
+
     # -- operators ----------------------------------------------------------------------------------------------
 
     def map(self, *exprs: Column | str) -> Frame:
         """One row per row; keys may change and needn't be unique."""
-        return Linear(self, "map", lambda d: [*(F.expr(e) if isinstance(e, str) else e for e in exprs)])
+        return Linear(self, "map", lambda d: [*(F.expr(e) if isinstance(e, str) else e for e in exprs)], does=_text(*exprs))
 
     def map_values(self, **exprs: str) -> Frame:
         """Replace value columns; the other columns, the key among them, stay."""
-        return Linear(self, "map_values", lambda d: [*(F.expr(exprs[c]).alias(c) if c in exprs else F.col(c) for c in d), *(F.expr(e).alias(c) for c, e in exprs.items() if c not in d)])
+        kept = lambda on: not set(on) & set(exprs)
+        return Linear(self, "map_values", lambda d: [*(F.expr(exprs[c]).alias(c) if c in exprs else F.col(c) for c in d), *(F.expr(e).alias(c) for c, e in exprs.items() if c not in d)], kept, repr(exprs))
 
     def flat_map(self, array: Column | str, *keep: str) -> Frame:
         """0..n rows per row: one for each struct of an array, its fields as columns, beside the columns ``keep``."""
-        return FlatMap(self, F.expr(array) if isinstance(array, str) else array, keep)
+        return FlatMap(self, F.expr(array) if isinstance(array, str) else array, keep, _text(array))
 
     def filter(self, predicate: Column | str) -> Frame:
-        return Filter(self, F.expr(predicate) if isinstance(predicate, str) else predicate)
+        return Filter(self, F.expr(predicate) if isinstance(predicate, str) else predicate, _text(predicate))
 
     def split(self, predicate: Column | str) -> tuple[Frame, Frame]:
         """Rows that satisfy the predicate, and all others (null counts as not satisfied)."""
         p = F.coalesce(F.expr(predicate) if isinstance(predicate, str) else predicate, F.lit(False))
-        return Filter(self, p), Filter(self, ~p)
+        return Filter(self, p, f"true {_text(predicate)}"), Filter(self, ~p, f"false {_text(predicate)}")
 
     def project(self, *columns: str) -> Frame:
-        return Linear(self, "project", lambda d: [F.col(c) for c in columns])
+        return Linear(self, "project", lambda d: [F.col(c) for c in columns], lambda on: True, repr(columns))
 
     def join(self, other: Frame, on: list[str] | str, residual: str | None = None, hint: str | None = None) -> Frame:
         """Inner join on equal keys, with a residual condition; ``hint="merge"`` asks for a sort join."""
@@ -99,6 +114,11 @@ class Frame:
         keys = [on] if isinstance(on, str) else on
         return Join(self, other.distinct(*keys), keys, None, None)
 
+    def get(self, keys: Frame, on: list[str] | str) -> Frame:
+        """Rows under the keys that another graph gives; a key that it gives twice counts once."""
+        cols = [on] if isinstance(on, str) else on
+        return Join(keys.distinct(*cols), self, cols, None, None)
+
     def distinct(self, *columns: str) -> Frame:
         return Reduce(self, list(columns), [], "distinct")
 
@@ -121,6 +141,11 @@ class Frame:
         """One row per chunk, a chunk being an expression of the key; touched chunks are computed anew."""
         return Reduce(self.map_values(chunk_id=chunk), ["chunk_id"], list(specs), "chunk_map")
 
+    def for_each_chunk(self, chunk: str, sinks: dict[str, list[AggSpec]]) -> dict[str, Frame]:
+        """Several sinks fed from the same chunks: for each a frame of one row per chunk."""
+        chunked = self.map_values(chunk_id=chunk)
+        return {name: Reduce(chunked, ["chunk_id"], list(specs), f"for_each_chunk {name}") for name, specs in sinks.items()}
+
     def aggregate_into(self, key: list[str] | str, *specs: AggSpec, threshold: float | None = None, drop_initial: str | None = None) -> Frame:
         """Keyed aggregate sink. ``threshold`` leaves out deltas of at most that size, ``drop_initial`` names a column whose zero deletes the key."""
         return Reduce(self, [key] if isinstance(key, str) else key, list(specs), "aggregate_into", drop_initial, threshold)
@@ -141,9 +166,15 @@ class Source(Frame):
         super().__init__()
         self.table, self.latest = table, None
 
+    def _does(self):
+        return f"{self.table.name}@{id(self.table)}"
+
     def full(self, version: str = "new") -> DataFrame:
         return self.table.df(version)
 
+    def at(self, keys, on, version="new"):
+        return self.table.store.lookup(keys, on, version) if set(on) <= set(self.table.key) else super().at(keys, on, version)
+
     def _change(self, changes, step):
         return self.latest
 
@@ -151,10 +182,37 @@ class Source(Frame):
         return f"table {self.table.name}"
 
 
+class Rows(Frame):
+    """Rows without keys that never change, for running graphs in full or joining them."""
+
+    op = "rows"
+
+    def __init__(self, df: DataFrame):
+        super().__init__()
+        self.df = df
+
+    def full(self, version="new"):
+        return self.df
+
+    def delta(self, step):
+        return None
+
+
 class Linear(Frame):
-    def __init__(self, child: Frame, op: str, exprs):
+    """One row per row; ``kept`` tells whether some columns pass unchanged under their names."""
+
+    def __init__(self, child: Frame, op: str, exprs, kept=lambda on: False, does: str | None = None):
         super().__init__(child)
-        self.op, self.exprs = op, exprs
+        self.op, self.exprs, self.kept, self.does = op, exprs, kept, does
+
+    def _does(self):
+        return None if self.does is None else f"{self.op} {self.does}"
+
+    def at(self, keys, on, version="new"):
+        if not self.kept(on):
+            return super().at(keys, on, version)
+        d = self.children[0].at(keys, on, version)
+        return d.select(*self.exprs(d.columns))
 
     def full(self, version="new"):
         d = self.children[0].full(version)
@@ -162,15 +220,18 @@ class Linear(Frame):
 
     def _change(self, changes, step):
         d = changes[0]
-        return consolidate(d.select(*self.exprs(data_columns(d)), DIFF))
+        return d.select(*self.exprs(data_columns(d)), DIFF)
 
 
 class FlatMap(Frame):
     op = "flat_map"
 
-    def __init__(self, child: Frame, array: Column, keep: tuple[str, ...]):
+    def __init__(self, child: Frame, array: Column, keep: tuple[str, ...], does: str | None = None):
         super().__init__(child)
-        self.array, self.keep = array, keep
+        self.array, self.keep, self.does = array, keep, does
+
+    def _does(self):
+        return None if self.does is None else f"{self.does} {self.keep}"
 
     def _apply(self, d: DataFrame, *more: str) -> DataFrame:
         return d.select(*self.keep, *more, F.inline(self.array))
@@ -179,19 +240,25 @@ class FlatMap(Frame):
         return self._apply(self.children[0].full(version))
 
     def _change(self, changes, step):
-        return consolidate(self._apply(changes[0], DIFF))
+        return self._apply(changes[0], DIFF)
 
 
 class Filter(Frame):
     op = "filter"
 
-    def __init__(self, child: Frame, predicate: Column):
+    def __init__(self, child: Frame, predicate: Column, does: str | None = None):
         super().__init__(child)
-        self.predicate = predicate
+        self.predicate, self.does = predicate, does
+
+    def _does(self):
+        return self.does
 
     def full(self, version="new"):
         return self.children[0].full(version).filter(self.predicate)
 
+    def at(self, keys, on, version="new"):
+        return self.children[0].at(keys, on, version).filter(self.predicate)
+
     def _change(self, changes, step):
         return changes[0].filter(self.predicate)
 
@@ -199,10 +266,17 @@ class Filter(Frame):
 class Union(Frame):
     op = "merge"
 
+    def _does(self):
+        return ""
+
     def full(self, version="new"):
         a, b = (c.full(version) for c in self.children)
         return a.unionByName(b)
 
+    def at(self, keys, on, version="new"):
+        a, b = (c.at(keys, on, version) for c in self.children)
+        return a.unionByName(b)
+
     def _change(self, changes, step):
         return union(*changes)
 
@@ -214,6 +288,7 @@ class Sorted(Frame):
 
     def __init__(self, child: Frame, order: tuple[str, ...]):
         super().__init__(child)
+        self.names = order
         self.order = [F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.expr(o).asc() for o in order]
 
     def full(self, version="new"):
@@ -222,6 +297,9 @@ class Sorted(Frame):
     def _change(self, changes, step):
         return changes[0]
 
+    def _does(self):
+        return repr(self.names)
+
     def ranked(self, rows: DataFrame | None = None, name: str = "rank") -> DataFrame:
         """Global ranks without one task seeing all rows: rank inside ranges of the order, plus the rows before each range."""
         return global_rank(self.full() if rows is None else rows, self.order, name)
@@ -245,6 +323,9 @@ class Join(Frame):
         super().__init__(left, right)
         self.on, self.residual, self.hint = on, residual, hint
 
+    def _does(self):
+        return repr((self.on, self.residual, self.hint))
+
     def _join(self, a: DataFrame, b: DataFrame) -> DataFrame:
         out = a.join(b.hint(self.hint) if self.hint else b, self.on)
         return out.filter(F.expr(self.residual)) if self.residual else out
@@ -257,49 +338,48 @@ class Join(Frame):
         a, b = self.children
         second = lambda d: d.withColumnRenamed(DIFF, "_diff2")
         times = lambda d: d.withColumn(DIFF, F.col(DIFF) * F.col("_diff2")).drop("_diff2")
-        # The unchanged side is cut down to the keys of the change before anything meets.
+        # Each change is written once, and the other side is read under its keys only.
         parts = []
         if da is not None:
-            parts.append(times(self._join(da, second(signed(restrict(b.full("new"), da, self.on))))))
+            da = cut(da)
+            parts.append(times(self._join(da, second(signed(b.at(da, self.on, "new"))))))
         if db is not None:
-            parts.append(times(self._join(signed(restrict(a.full("old"), db, self.on)), second(db))))
-        return consolidate(union(*parts))
+            db = cut(db)
+            parts.append(times(self._join(signed(a.at(db, self.on, "old")), second(db))))
+        return union(*parts)
 
 
 class Stateful(Frame):
-    """A node that remembers the rows it gave out, as they were written.
+    """A node whose result is kept, by key, in a store of its own.
 
-    What is taken back later is exactly what was given: sums of floating-point numbers computed again may differ in
-    their last bits, and such a row would never cancel.
+    What is taken back is read from what was kept: sums of floating-point numbers computed again may differ in their
+    last bits, and such a row would never cancel.
     """
 
     def __init__(self, *children: Frame):
         super().__init__(*children)
-        self.given: list[DataFrame] = []
-        self.before: list[DataFrame] = []
+        self.store: KeyedStore | None = None
 
-    def _begin(self) -> None:
-        self.before = list(self.given)
+    def _build(self) -> KeyedStore:
+        raise NotImplementedError
 
-    def _stored(self, version: str) -> DataFrame:
-        parts = self.given if version == "new" else self.before
-        return rows(consolidate(union(*parts)) if len(parts) > 1 else parts[0])
+    def initialise(self) -> None:
+        super().initialise()
+        if self.store is None:
+            self.store = self._build()
 
-    def _give(self, new: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
-        """The change from what was given for the touched keys to their new rows; written, and remembered."""
-        old = union(*(restrict(p, touched, keys) for p in self.given))
-        change = cut(consolidate(negate(old).unionByName(signed(new))))
-        self.given.append(change)
-        if len(self.given) > FOLD_AFTER:
-            self.given = [cut(consolidate(union(*self.given)))]
-        return change
+    def delta(self, step):
+        if self.store is not None and self._step[0] != step:
+            self.store.before = (self.store.base, list(self.store.steps))
+        return super().delta(step)
 
 
 class Reduce(Stateful):
     """Keyed or global reduction.
 
-    Invertible aggregates keep sums and a row count per group as additive state: a change appends the sums of its own
-    rows, and a group is there while its count is above zero. Others are computed anew for the keys of the change.
+    Aggregates with an inverse keep their partial sums and a row count per group: a change adds the sums of its own
+    rows to those of the groups it touches, and a group is there while its count is above zero. Others keep their
+    values, and compute those of touched groups anew.
     """
 
     def __init__(self, child: Frame, keys: list[str], specs: list[AggSpec], op: str, drop_initial: str | None = None, threshold: float | None = None):
@@ -307,10 +387,9 @@ class Reduce(Stateful):
         self.keys, self.specs, self.op = keys, specs, op
         self.drop_initial, self.threshold = drop_initial, threshold
         self.additive = all(s.invertible for s in specs)
-        self.state: list[DataFrame] = []
 
-    def _finish(self, d: DataFrame) -> DataFrame:
-        return d.filter(f"{self.drop_initial} <> 0") if self.drop_initial else d
+    def _does(self):
+        return repr((self.keys, self.specs, self.drop_initial, self.threshold))
 
     def _guard(self, d: DataFrame) -> DataFrame:
         """Deltas too small to count; judged on each row's value, so that partitioning can't change a result."""
@@ -319,42 +398,110 @@ class Reduce(Stateful):
         return d.filter(F.abs(F.expr(self.specs[0].value)) > self.threshold)
 
     def _grouped(self, d: DataFrame) -> DataFrame:
-        grouped = self._guard(d).groupBy(*self.keys).agg(*(s.full() for s in self.specs), F.count(F.lit(1)).alias("_rows"))
-        return self._finish(grouped.filter("_rows > 0").drop("_rows"))
-
-    def full(self, version="new"):
-        return self._stored(version) if self.given else self._grouped(self.children[0].full(version))
+        grouped = self._guard(d).groupBy(*self.keys).agg(*(s.full() for s in self.specs), F.count(F.lit(1)).alias("_rows")).filter("_rows > 0").drop("_rows")
+        return grouped.filter(f"{self.drop_initial} <> 0") if self.drop_initial else grouped
 
     def _sums(self, d: DataFrame) -> DataFrame:
+        if any(s.kind == "group" for s in self.specs):  # a group's operation takes one value at a time
+            d = d.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.abs(DIFF)))).drop("_n").withColumn(DIFF, F.signum(DIFF).cast("long"))
         return d.groupBy(*self.keys).agg(F.sum(DIFF).alias("_rows"), *(p for s in self.specs for p in s.partials(F.col(DIFF))))
 
-    def _added_up(self, parts: list[DataFrame]) -> DataFrame:
-        return union(*parts).groupBy(*self.keys).agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()))
+    def _present(self, prefix: str) -> Column:
+        there = F.col(f"{prefix}_rows") > 0
+        for s in self.specs:
+            if s.name == self.drop_initial:
+                there = there & (s.value_of(prefix) != 0)
+        return there
 
-    def _values(self, sums: DataFrame) -> DataFrame:
-        return self._finish(sums.filter("_rows > 0").select(*self.keys, *(s.value_of() for s in self.specs)))
+    def _outputs(self, prefix: str = "") -> list[Column]:
+        return [s.value_of(prefix).alias(s.name) for s in self.specs]
 
-    def initialise(self) -> None:
-        super().initialise()
-        if self.given:
-            return
+    def _shown(self, kept: DataFrame) -> DataFrame:
+        return kept.filter(self._present("")).select(*self.keys, *self._outputs()) if self.additive else kept
+
+    def full(self, version="new"):
+        return self._shown(self.store.rows(version)) if self.store else self._grouped(self.children[0].full(version))
+
+    def at(self, keys, on, version="new"):
+        if self.store is None or not set(on) <= set(self.keys):
+            return super().at(keys, on, version)
+        return self._shown(self.store.lookup(keys, on, version))
+
+    def _build(self):
         child = self.children[0].full()
-        if self.additive:
-            self.state = [cut(self._sums(signed(self._guard(child))))]
-        self.given = [cut(signed(self._values(self.state[0]) if self.additive else self._grouped(child)))]
-        self.before = list(self.given)
+        return KeyedStore(self._sums(signed(self._guard(child))).filter("_rows > 0") if self.additive else self._grouped(child), self.keys)
 
     def _change(self, changes, step):
-        d = self._guard(changes[0])
-        if not self.additive:
-            touched = cut(d.select(*self.keys).distinct()) if self.keys else d
-            return self._give(self._grouped(restrict(self.children[0].full("new"), touched, self.keys)), touched, self.keys)
+        return self._added(self._guard(changes[0])) if self.additive else self._anew(self._guard(changes[0]))
+
+    def _added(self, d: DataFrame) -> DataFrame | None:
         added = cut(self._sums(d))
-        self.state.append(added)
-        new = self._values(self._added_up([restrict(p, added, self.keys) for p in self.state]))
-        if len(self.state) > FOLD_AFTER:
-            self.state = [cut(self._added_up(self.state).filter("_rows <> 0"))]
-        return self._give(new, added, self.keys)
+        store = self.store
+        step = store.apply(cut(self._together(store.lookup(added, self.keys), added).filter(f"{OLD} is not null or {NEW} is not null")))
+        if step is None:
+            return None
+        side = lambda x: F.when(self._present(f"{x}."), F.struct(F.lit(True).alias("_here"), *self._outputs(f"{x}."))).alias(x)
+        return change_of(step.select(*self.keys, side(OLD), side(NEW)), self.keys, [s.name for s in self.specs])
+
+    def _together(self, known: DataFrame, added: DataFrame) -> DataFrame:
+        """(keys, _old, _new): kept sums of the groups touched, and what they are with the added ones."""
+        values, kinds = self.store.values, dict(self.store.base.dtypes)
+        if self.keys and not any(s.kind == "group" for s in self.specs):
+            old = known.select(*(F.col(k).alias(f"_k_{k}") for k in self.keys), packed(values).alias(OLD))
+            both = added.join(old, nullsafe(self.keys, [f"_k_{k}" for k in self.keys]), "left")
+            sums = both.select(*self.keys, OLD, *(F.expr(f"cast(coalesce(`{c}`, 0) + coalesce({OLD}.`{c}`, 0) as {kinds[c]}) as `{c}`") for c in values))
+        else:
+            both = known.withColumn(OLD, packed(values)).unionByName(added, allowMissingColumns=True).groupBy(*self.keys)
+            sums = both.agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()), F.first(OLD, ignorenulls=True).alias(OLD))
+            sums = sums.withColumns({c: F.col(c).cast(kinds[c]) for c in values})
+        return sums.select(*self.keys, OLD, F.when(F.col("_rows") > 0, packed(values)).alias(NEW))
+
+    def _anew(self, d: DataFrame) -> DataFrame | None:
+        touched = cut(d.select(*self.keys).distinct()) if self.keys else d
+        store = self.store
+        new = self._grouped(self.children[0].at(touched, self.keys))
+        old = store.lookup(touched, self.keys)
+        stacked = old.select(*self.keys, packed(store.values).alias(OLD)).unionByName(new.select(*self.keys, packed(store.values).alias(NEW)), allowMissingColumns=True)
+        step = stacked.groupBy(*self.keys).agg(F.first(OLD, ignorenulls=True).alias(OLD), F.first(NEW, ignorenulls=True).alias(NEW))
+        step = store.apply(cut(step.filter(~F.col(OLD).eqNullSafe(F.col(NEW)))))
+        return None if step is None else change_of(step, self.keys, store.values)
+
+
+class Wide(Stateful):
+    """One row a key from several frames, each of which gives one column; what a frame lacks has its default.
+
+    A change looks up the keys it touches in each frame.
+    """
+
+    op = "wide"
+
+    def __init__(self, key: str, columns: dict[str, Frame], defaults: dict[str, object]):
+        super().__init__(*columns.values())
+        self.key, self.names, self.defaults = key, list(columns), defaults
+
+    def _row(self, parts: list[DataFrame]) -> DataFrame:
+        from tidemark.operators.wide import merge_columns
+
+        return merge_columns(self.key, {n: d.select(self.key, n) for n, d in zip(self.names, parts)}, self.defaults)
+
+    def full(self, version="new"):
+        return self.store.rows(version) if self.store else self._row([c.full(version) for c in self.children])
+
+    def at(self, keys, on, version="new"):
+        return self.store.lookup(keys, on, version) if self.store and on == [self.key] else super().at(keys, on, version)
+
+    def _build(self):
+        return KeyedStore(self._row([c.full() for c in self.children]), [self.key])
+
+    def _change(self, changes, step):
+        touched = cut(union(*(c.select(self.key) for c in changes if c is not None)).distinct())
+        store = self.store
+        new = self._row([c.at(touched, [self.key]) for c in self.children])
+        old = store.lookup(touched, [self.key])
+        stacked = old.select(self.key, packed(store.values).alias(OLD)).unionByName(new.select(self.key, packed(store.values).alias(NEW)), allowMissingColumns=True)
+        step = stacked.groupBy(self.key).agg(F.first(OLD, ignorenulls=True).alias(OLD), F.first(NEW, ignorenulls=True).alias(NEW))
+        step = store.apply(cut(step.filter(~F.col(OLD).eqNullSafe(F.col(NEW)))))
+        return None if step is None else change_of(step, [self.key], store.values)
 
 
-__all__ = ["Frame", "Join", "Reduce", "Sorted", "Source", "Stateful", "global_rank", "nullsafe"]
+__all__ = ["Frame", "Join", "Reduce", "Rows", "Sorted", "Source", "Stateful", "Wide", "global_rank", "negate", "nullsafe"]

@@ -2,45 +2,64 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.operators.delta import consolidate, rows, signed
+from tidemark.operators.delta import consolidate, data_columns, rows, signed, union
 from tidemark.operators.table import KeyedTable
-from tidemark.plans.frame import Frame, Sorted, Source
-from tidemark.runtime import cut, prepare
+from tidemark.plans.frame import Frame, Rows, Sorted, Source, Stateful
+from tidemark.runtime import cut, forget, plan_bytes, prepare, written_under
 
-#: Changes of a result that are kept apart before they are folded into its base.
-FOLD_AFTER = 8
+#: Changes of a result that are kept apart before they are merged, and the share of its base at which they join it.
+FOLD_AFTER, FOLD_SHARE = 8, 0.25
 
 
 class Result:
-    """The output of a graph. ``df()`` always equals a run from scratch over the tables' current rows."""
+    """The output of a graph. ``df()`` always equals a run from scratch over the tables' current rows.
+
+    Nodes with state hold their own rows. Of other graphs the rows are written once, and each step's change behind them.
+    """
 
     def __init__(self, frame: Frame):
         self.frame = frame
         frame.initialise()
-        self.parts = [cut(signed(frame.full()))]
+        self.kept = frame.children[0] if isinstance(frame, Sorted) else frame
+        self.stateful = isinstance(self.kept, Stateful)
+        self.base = None if self.stateful else cut(signed(frame.full()))
+        self.changes: list[DataFrame] = []
         self.steps_with_work = 0
 
     def _apply(self, step: int) -> None:
         change = self.frame.delta(step)
         if change is None:
             return
-        self.parts.append(cut(change))
         self.steps_with_work += 1
-        if len(self.parts) > FOLD_AFTER:
-            self.parts = [cut(consolidate(self._whole()))]
+        if self.stateful:
+            return
+        self.changes.append(cut(consolidate(change)))
+        if len(self.changes) > FOLD_AFTER:
+            merged = cut(consolidate(union(*self.changes)))
+            self.changes = [merged]
+            if plan_bytes(merged) > FOLD_SHARE * plan_bytes(self.base):
+                self.base, self.changes = cut(self._whole()), []
 
     def _whole(self) -> DataFrame:
-        whole = self.parts[0]
-        for p in self.parts[1:]:
-            whole = whole.unionByName(p)
-        return whole
+        """The base past the rows that changes name, and those added up; a hash only tells which rows may be named."""
+        if not self.changes:
+            return self.base
+        changes = union(*self.changes)
+        hashed = F.xxhash64(*(c for c in data_columns(self.base) if not self.base.schema[c].dataType.simpleString().startswith("map")), F.lit(0))
+        named = changes.select(hashed.alias("_named")).distinct()
+        marked = self.base.withColumn("_hash", hashed)
+        untouched = marked.join(named, F.col("_hash") == F.col("_named"), "left_anti").drop("_hash")
+        touched = marked.join(named, F.col("_hash") == F.col("_named"), "left_semi").drop("_hash")
+        return untouched.unionByName(consolidate(touched.unionByName(changes)))
 
     def df(self) -> DataFrame:
-        out = rows(consolidate(self._whole())) if len(self.parts) > 1 else rows(self.parts[0])
+        out = self.kept.full() if self.stateful else rows(self._whole())
         return self.frame.ranked(out) if isinstance(self.frame, Sorted) else out
 
     def collect(self) -> list:
@@ -49,15 +68,20 @@ class Result:
 
 
 class Session:
+    """Tables and the graphs over them. What a session writes lies in a folder of its own; ``close`` deletes it."""
+
     def __init__(self, spark: SparkSession):
         self.spark = prepare(spark)
+        self.folder = f"session-{uuid.uuid4().hex}"
         self.sources: dict[str, Source] = {}
         self.results: list[Result] = []
-        self._known: dict[int, Result] = {}
+        self._known: dict[str, tuple[Frame, Result]] = {}
         self.step = 0
 
-    def create_table(self, name: str, key: list[str] | str, initial: DataFrame, defaults: dict[str, object] | None = None) -> KeyedTable:
-        table = KeyedTable(self.spark, name, key, cut(initial), defaults)
+    def create_table(self, name: str, key: list[str] | str, initial: DataFrame, defaults: dict[str, object] | None = None, trusted: bool = False) -> KeyedTable:
+        """A table of rows with unique keys: a key that repeats raises ValueError, unless the rows are ``trusted``."""
+        with written_under(self.folder):
+            table = KeyedTable(self.spark, name, key, initial, defaults, trusted)
         self.sources[name] = Source(table)
         return table
 
@@ -68,18 +92,25 @@ class Session:
     def frame(self, table: KeyedTable | str) -> Frame:
         return self.sources[table if isinstance(table, str) else table.name]
 
+    def rows(self, df: DataFrame) -> Frame:
+        """Rows without keys that never change."""
+        return Rows(df)
+
     def run(self, frame: Frame) -> Result:
-        """Compute a graph once. The same graph asked for again gives the same result object."""
-        if id(frame) not in self._known:
-            self._known[id(frame)] = Result(frame)
-            self.results.append(self._known[id(frame)])
-        return self._known[id(frame)]
+        """Compute a graph once. A graph that does the same on the same tables gives the same result object."""
+        known = frame.fingerprint()
+        if known not in self._known:
+            with written_under(self.folder):
+                self._known[known] = (frame, Result(frame))  # the frame stays, so its fingerprint stays its own
+            self.results.append(self._known[known][1])
+        return self._known[known][1]
 
     def run_all(self, *frames: Frame) -> list[Result]:
         """Run independent graphs at the same time, their jobs side by side."""
         shared = [n for n in {id(n): n for f in frames for n in f.nodes()}.values()]
-        for node in shared:  # state that graphs share is built once, before they part
-            node.initialise()
+        with written_under(self.folder):
+            for node in shared:  # state that graphs share is built once, before they part
+                node.initialise()
         with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
             return list(pool.map(self.run, frames))
 
@@ -89,12 +120,13 @@ class Session:
             return 0
         self.step += 1
         changed = 0
-        for s in self.sources.values():
-            s.latest = s.table.advance()
-            changed += s.latest is not None
-        if changed:
-            for r in self.results:
-                r._apply(self.step)
+        with written_under(self.folder):
+            for s in self.sources.values():
+                s.latest = s.table.advance()
+                changed += s.latest is not None
+            if changed:
+                for r in self.results:
+                    r._apply(self.step)
         return changed
 
     def dot(self) -> str:
@@ -106,6 +138,8 @@ class Session:
         return "\n".join(["digraph tidemark {", *lines, "}"])
 
     def close(self) -> None:
+        """Drop all tables and results and delete what they wrote."""
+        forget(self.spark, self.folder)
         self.sources.clear()
         self.results.clear()
         self._known.clear()

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import JSPLIT_SQL, jsplit, token_count
 from tidemark.operators import graph
-from tidemark.operators.agg import avg_of, count_of, max_of, min_of, opaque, sum_of
+from tidemark.operators.agg import avg_of, count_of, group_of, max_of, min_of, opaque, sum_of
 from tidemark.operators.table import KeyedTable
 from tidemark.operators.wide import merge_columns
-from tidemark.plans.frame import Frame, global_rank
+from tidemark.plans.frame import Frame, Rows, Wide, global_rank
 from tidemark.plans.session import Result, Session
 from tidemark.runtime import cut, prepare, scratch_dir, table
 from tidemark.sources import documents as doc_sources
@@ -39,14 +39,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _frame(spark: SparkSession, sf_dir: str, name: str, key: str | list[str], *columns: str) -> Frame:
-    """A graph over a whole table, for running in full."""
-    df = table(prepare(spark), sf_dir, name).select(*([key] if isinstance(key, str) else key), *columns)
-    s = Session(spark)
-    from tidemark.plans.frame import Source
-
-    s.sources[name] = Source(KeyedTable(spark, name, key, df))
-    return s.frame(name)
+def _frame(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Frame:
+    """A graph over a whole table, for running in full: its rows needn't have a key."""
+    return Rows(table(prepare(spark), sf_dir, name).select(*columns))
 
 
 _TOKENS = f"select doc_id, {JSPLIT_SQL} as w from documents"
@@ -144,17 +139,17 @@ def rcw_total(spark, sf_dir):
 
 @query("reduce_sum", "select sum(l_quantity) as total, count(*)::bigint as n from lineitem")
 def reduce_sum(spark, sf_dir):
-    return _frame(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity").reduce(sum_of("total", "l_quantity"), count_of("n")).full()
+    return _frame(spark, sf_dir, "lineitem", "l_quantity").reduce(sum_of("total", "l_quantity"), count_of("n")).full()
 
 
 @query("reduce_max", "select max(l_extendedprice) as top from lineitem")
 def reduce_max(spark, sf_dir):
-    return _frame(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_extendedprice").reduce(max_of("top", "l_extendedprice"), key="l_orderkey").full()
+    return _frame(spark, sf_dir, "lineitem", "l_extendedprice").reduce(max_of("top", "l_extendedprice"), key="l_extendedprice").full()
 
 
 @query("reduce_empty", "select max(l_quantity) as top from lineitem where l_quantity < 0 having count(*) > 0")
 def reduce_empty(spark, sf_dir):
-    return _frame(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_quantity").filter("l_quantity < 0").reduce(max_of("top", "l_quantity")).full()
+    return _frame(spark, sf_dir, "lineitem", "l_quantity").filter("l_quantity < 0").reduce(max_of("top", "l_quantity")).full()
 
 
 _CENTS = "cast(round(o_totalprice * 100) as bigint)"
@@ -260,7 +255,7 @@ def column_defaults(spark, sf_dir):
 
 @query("column_agg", "select l_partkey as key, sum(l_quantity) as qty, round(sum(l_extendedprice), 2) as price, count(*)::bigint as n from lineitem group by 1")
 def column_agg(spark, sf_dir):
-    lines = _frame(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], "l_partkey", "l_quantity", "l_extendedprice").map_values(key="l_partkey")
+    lines = _frame(spark, sf_dir, "lineitem", "l_partkey", "l_quantity", "l_extendedprice").map_values(key="l_partkey")
     return lines.aggregate_into("key", sum_of("qty", "l_quantity"), sum_of("price", "l_extendedprice"), count_of("n")).full().withColumn("price", F.round("price", 2))
 
 
@@ -291,7 +286,44 @@ def agg_drop_initial(spark, sf_dir):
 @query("agg_custom_group", "select user_id, bit_xor(event_id) as folded from events group by user_id")
 def agg_custom_group(spark, sf_dir):
     """An aggregate over a commutative group of the user's choice: exclusive or."""
-    return _frame(spark, sf_dir, "events", "event_id", "user_id").aggregate_into("user_id", opaque("folded", "bit_xor(event_id)")).full()
+    return _frame(spark, sf_dir, "events", "event_id", "user_id").aggregate_into("user_id", _XOR).full()
+
+
+_XOR = group_of("folded", "event_id", "bit_xor({})", zero="0L")
+
+
+@query("inc_custom_group", "select user_id, bit_xor(case when event_id % 10 = 0 then event_id * 3 else event_id end) as folded, count(*)::bigint as n from events where event_id % 10 <> 1 group by user_id")
+def inc_custom_group(spark, sf_dir):
+    """The user's own group kept as state: what is added folds in, what is taken back folds in its inverse."""
+    events = table(prepare(spark), sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("v"))
+    updated = events.withColumn("v", F.col("event_id") * 3)
+    xor = group_of("folded", "v", "bit_xor({})", zero="0L")
+    return _maintained(spark, events, "event_id", updated, lambda s, f: f.aggregate_into("user_id", xor, count_of("n"))).df()
+
+
+@query("inc_agg_sink_eps", f"select user_id, sum(v)::bigint as total from (select user_id, case when event_id % 10 = 0 then 2 * ({_SIGNED}) else {_SIGNED} end as v from events where event_id % 10 <> 1) where abs(v) > 10 group by user_id")
+def inc_agg_sink_eps(spark, sf_dir):
+    events = table(prepare(spark), sf_dir, "events").select("event_id", "user_id", F.expr(f"{_SIGNED} as v"))
+    return _maintained(spark, events, "event_id", events.withColumn("v", 2 * F.col("v")), lambda s, f: f.aggregate_into("user_id", sum_of("total", "v"), threshold=10)).df()
+
+
+@query("for_each_chunk_sinks", f"select 'tokens' as sink, doc_id // 64 as chunk_id, count(*)::bigint as n from ({_WORDS}) group by 2 union all select 'longest', chunk_id, max(length(word))::bigint from (select doc_id // 64 as chunk_id, word from ({_WORDS})) group by 2")
+def for_each_chunk_sinks(spark, sf_dir):
+    """Two sinks fed chunk by chunk from one visit of the words."""
+    sinks = _word_frame(_frame(spark, sf_dir, "documents", "doc_id", "text")).for_each_chunk("doc_id div 64", {"tokens": [count_of("n")], "longest": [max_of("n", "cast(length(word) as bigint)")]})
+    parts = [f.map(f"'{name}' as sink", "chunk_id", "n") for name, f in sinks.items()]
+    return parts[0].merge(parts[1]).full()
+
+
+def _wch_chunked(docs: Frame, words: Frame) -> Frame:
+    """Counts combined inside each chunk of documents first, then across chunks for the words of the dictionary."""
+    chunks = _word_frame(docs).map_values(chunk_id="doc_id div 64").reduce_by_key(["chunk_id", "word"], count_of("n_chunk"))
+    return chunks.semi_join(words, "word").reduce_by_key("word", sum_of("n", "n_chunk"))
+
+
+@query("wch_chunked", f"select word, count(*)::bigint as n from ({_WORDS}) where word in ({_DICT}) group by word")
+def wch_chunked(spark, sf_dir):
+    return _wch_chunked(_frame(spark, sf_dir, "documents", "doc_id", "text"), _dictionary(spark, sf_dir)).full()
 
 
 @query("hash_partition_counts", "select (o_orderkey % 8)::int as part, count(*)::bigint as n from orders group by 1")
@@ -382,7 +414,7 @@ def source_oplog(spark, sf_dir):
     op = F.when(F.col("b") == 0, "adding").when(F.col("s_suppkey") % 2 == 0, "updating").otherwise("removing")
     lines = s.select("b", "s_suppkey", F.format_string("%s (%d,%s)", op, "s_suppkey", "s_name").alias("value"))
     ends = spark.createDataFrame([(0, 1 << 60, "---"), (1, 1 << 60, "---")], "b int, s_suppkey long, value string")
-    lines.unionByName(ends).orderBy("b", "s_suppkey").select("value").coalesce(1).write.text(path)
+    lines.unionByName(ends).orderBy("b", "s_suppkey").select("value").coalesce(1).write.text(path)  # a log is one file
     return keyed.read_oplog(spark, path).select("batch", "op", "key", "value")
 
 
@@ -391,22 +423,19 @@ def source_graph_trace(spark, sf_dir):
     """A graph file with a trace of edges added and removed, applied to the edges."""
     path = _scratch(spark)
     e = cut(_edges(spark, sf_dir))
-    head = e.select(F.lit(0).alias("o"), F.concat_ws("\t", "src", "dst").alias("value"))
-    mark = spark.createDataFrame([(1, "---")], "o int, value string")
-    adds = e.filter("src % 11 = 5").select(F.lit(2).alias("o"), F.concat_ws("\t", F.lit("add"), "src", F.col("dst") + 1000000).alias("value"))
-    gone = e.filter("src % 7 = 3").select(F.lit(2).alias("o"), F.concat_ws("\t", F.lit("remove"), "src", "dst").alias("value"))
-    head.union(mark).union(adds).union(gone).orderBy("o", "value").select("value").coalesce(1).write.text(path)
+    adds = e.filter("src % 11 = 5").select(F.lit("add").alias("op"), "src", (F.col("dst") + 1000000).alias("dst"))
+    graphs.write_graph_trace(e, adds.unionByName(e.filter("src % 7 = 3").select(F.lit("remove").alias("op"), "src", "dst")), path)
     edges, ops = graphs.read_graph_trace(spark, path)
     removed = ops.filter("op = 'remove'").select("src", "dst")
     added = ops.filter("op = 'add'").select("src", "dst")
     return edges.join(removed, ["src", "dst"], "left_anti").unionByName(added)
 
 
-@query("source_wiki", "select cast(doc_id as varchar) as key, regexp_replace(text, '\\s*[\\r\\n]+\\s*', ' ', 'g') as value from documents where text not like '%<%'")
+@query("source_wiki", "select cast(doc_id as varchar) as key, regexp_replace(coalesce(text, ''), '\\s*[\\r\\n]+\\s*', ' ', 'g') as value from documents")
 def source_wiki(spark, sf_dir):
     """Documents wrapped as pages of a dump and converted back to keyed text."""
-    d = table(prepare(spark), sf_dir, "documents").filter("text not like '%<%'")
-    page = F.concat(F.lit("<page><title>"), F.col("doc_id").cast("string"), F.lit('</title><text xml:space="preserve">'), "text", F.lit("</text></page>"))
+    d = table(prepare(spark), sf_dir, "documents")
+    page = F.concat(F.lit("<page><title>"), F.col("doc_id").cast("string"), F.lit('</title><text xml:space="preserve">'), doc_sources.escaped(F.coalesce("text", F.lit(""))), F.lit("</text></page>"))
     return doc_sources.wiki_pages(d.select(page.alias("value")))
 
 
@@ -429,18 +458,50 @@ def sink_number(spark, sf_dir):
     return spark.read.text(path)
 
 
-@query("update_files", "select cast(o_orderkey as varchar) as key, cast(o_custkey as varchar) as value, ((rn - 1) // n)::int as file from (select *, row_number() over (order by o_orderkey) as rn, (select count(*) // 3 from orders) as n from orders) where rn <= 3 * n")
+@query("update_files", "select cast(o_orderkey as varchar) as key, cast(o_custkey as varchar) as value, ((rn - 1) // n)::int as file from (select *, row_number() over (order by o_orderkey) as rn, (select (count(*) + 2) // 3 from orders) as n from orders)")
 def update_files(spark, sf_dir):
-    """An ordered table cut into three update files and read back."""
+    """An ordered table cut into three update files and read back from their folder."""
     orders = table(prepare(spark), sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"), F.col("o_orderkey").alias("_seq"))
-    paths = keyed.split_updates(orders, _scratch(spark), orders.count() // 3, 3)
+    folder = _scratch(spark)
+    keyed.split_updates(orders, folder, max(1, -(-orders.count() // 3)), 3)
     out = None
-    for i, p in enumerate(paths):
+    for i, p in enumerate(keyed.update_paths(spark, folder)):
         one = keyed.read_pairs(spark, p).withColumn("file", F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("inc_update_directory", "select value, count(*)::bigint as n from (select cast(case when o_orderkey % 5 = 0 then o_custkey % 7 else o_custkey % 11 end as varchar) as value from orders) group by value")
+def inc_update_directory(spark, sf_dir):
+    """A folder of update files applied one after another; a count follows each."""
+    orders = table(prepare(spark), sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), (F.col("o_custkey") % 11).cast("string").alias("value"), "o_orderkey", "o_custkey")
+    s, folder = Session(spark), _scratch(spark)
+    t = s.create_table("kv", "key", orders.filter("o_orderkey % 3 <> 1").select("key", "value"))
+    result = s.run(s.frame(t).reduce_by_key("value", count_of("n")))
+    fresh = orders.filter("o_orderkey % 3 = 1").select("key", "value", F.col("o_orderkey").alias("_seq"))
+    later = orders.filter("o_orderkey % 5 = 0").select("key", (F.col("o_custkey") % 7).cast("string").alias("value"), (F.col("o_orderkey") + (1 << 40)).alias("_seq"))
+    keyed.split_updates(fresh.unionByName(later), folder, max(1, -(-orders.count() // 4)), 3)
+    keyed.replay(s, t, folder)
+    return result.df()
+
+
+_GENERATED = "select key, case when up then v2 else v1 end as value from (select s_suppkey as key, (s_suppkey * 48271 + 5) % 2147483647 % 100 as v1, (s_suppkey * 48271 + 6) % 2147483647 % 100 as v2, (s_suppkey * 48271 + 6) % 2147483647 % 3 = 1 as up, (s_suppkey * 48271 + 6) % 2147483647 % 3 = 2 as gone from supplier) where not gone"
+
+
+@query("inc_generated_updates", f"select value, count(*)::bigint as n from ({_GENERATED}) group by value")
+def inc_generated_updates(spark, sf_dir):
+    """Generated values, then a generated batch that updates a third of the keys, removes a third and keeps the rest."""
+    keys = table(prepare(spark), sf_dir, "supplier").select(F.col("s_suppkey").alias("key"))
+    s = Session(spark)
+    t = s.create_table("ints", "key", graphs.seeded_ints(keys, 5, 100))
+    result = s.run(s.frame(t).reduce_by_key("value", count_of("n")))
+    batch = graphs.seeded_updates(keys, 6, 100)
+    t.put_all(batch.filter("op = 'update'").select("key", "value"))
+    t.remove_all(batch.filter("op = 'remove'"))
+    s.propagate()
+    return result.df()
+
+
 # -- maintained results ---------------------------------------------------------------------------------------------
 
 
@@ -611,6 +672,53 @@ def inc_pagerank_3(spark, sf_dir):
     return result.df().withColumn("rank", F.round("rank", 6))
 
 
+@query("inc_wide", f"select p_partkey as key, coalesce(q, 0.0) as qty, coalesce(n, -1)::bigint as orders from (select p_partkey from part where p_partkey % 10 <> 1) left join (select o_custkey as key, sum(round(o_totalprice * 100)) as q, count(*) as n from ({_FINAL_ORDERS}) group by 1) on key = p_partkey where n is not null")
+def inc_wide(spark, sf_dir):
+    """Aggregated columns kept in one wide row a key, from two maintained sums and the defaults."""
+    whole, updated = _orders(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+
+    def build(s: Session, f: Frame) -> Frame:
+        keyed_orders = f.map_values(key="o_custkey", cents="round(o_totalprice * 100)")
+        wide = Wide("key", {"qty": keyed_orders.aggregate_into("key", sum_of("qty", "cents")), "orders": keyed_orders.aggregate_into("key", count_of("orders"))}, {"qty": 0.0, "orders": -1})
+        return wide.join(s.frame(s.create_table("part", "key", parts)), "key")
+
+    def then(s: Session, t: KeyedTable) -> None:
+        s.sources["part"].table.remove_all(parts.filter("key % 10 = 1"))
+        s.propagate()
+
+    return _maintained(spark, whole, "o_orderkey", updated, build, then).df()
+
+
+@query("inc_get", f"select distinct c_custkey, c_name, round(c_acctbal * 2, 3) as c_acctbal from customer where c_custkey in (select o_custkey from ({_FINAL_ORDERS}) where o_totalprice > 150000)")
+def inc_get(spark, sf_dir):
+    """Rows looked up by keys that another result gives; both follow."""
+    whole, updated = _orders(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+
+    def build(s: Session, f: Frame) -> Frame:
+        rich = f.filter("o_totalprice > 150000").map("o_custkey as c_custkey")
+        return s.frame(s.create_table("customer", "c_custkey", customers)).get(rich, "c_custkey")
+
+    def then(s: Session, t: KeyedTable) -> None:
+        s.sources["customer"].table.put_in("c_acctbal", customers.withColumn("c_acctbal", F.col("c_acctbal") * 2))
+        s.propagate()
+
+    return _maintained(spark, whole, "o_orderkey", updated, build, then).df().withColumn("c_acctbal", F.round("c_acctbal", 3))
+
+
+@query("inc_wch_chunked", f"select word, count(*)::bigint as n from ({_FINAL_WORDS}) where word in ({_DICT}) group by word")
+def inc_wch_chunked(spark, sf_dir):
+    whole, updated = _docs(spark, sf_dir)
+
+    def build(s: Session, f: Frame) -> Frame:
+        items = s.create_table("benchmark", "item_id", table(spark, sf_dir, "benchmark").select("item_id", "text"))
+        words = s.frame(items).flat_map(F.transform(jsplit(F.col("text")), lambda w: F.struct(w.alias("word")))).distinct("word")
+        return _wch_chunked(f, words)
+
+    return _maintained(spark, whole, "doc_id", updated, build).df()
+
+
 @query("inc_drain_refill", "select o_custkey, count(*)::bigint as n from orders where o_orderkey % 2 = 0 group by o_custkey")
 def inc_drain_refill(spark, sf_dir):
     whole, _ = _orders(spark, sf_dir)

@@ -1,14 +1,19 @@
 """What every query needs of its session: importable workers, bounded Arrow batches, shared scratch space.
 
-``scratch_dir`` and ``cut`` follow the cluster's ``spark.checkpoint.dir``; only where that is unset
-(a laptop, a test) do they fall back to a folder of their own on the local disk.
+``scratch_dir`` and ``cut`` follow the cluster's ``spark.checkpoint.dir``, or else the folder that the context's
+checkpoints go to. Only where neither is set and the master is local (a laptop, a test) do they fall back to a folder of
+their own on the local disk; on a cluster that raises.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +22,7 @@ ROOT = str(Path(__file__).resolve().parents[1])
 #: Rows of one Arrow batch; with texts of a few KB this keeps a batch at a few MB, and bytes bound the rest.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+_FOLDER: ContextVar[str] = ContextVar("folder", default="")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -47,14 +53,41 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = getattr(spark.sparkContext, "_tidemark_scratch", None)
+    sc = spark.sparkContext
+    held = getattr(sc, "_tidemark_scratch", None)
     if held is None:
-        held = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext._tidemark_scratch = held
-        spark.sparkContext.setCheckpointDir(held + "/checkpoints")
+        held = sc.getCheckpointDir()
+        if held is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            held = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            sc.setCheckpointDir(held + "/checkpoints")
+        sc._tidemark_scratch = held
     return held
 
 
+@contextmanager
+def written_under(folder: str) -> Iterator[None]:
+    """Tables that ``cut`` writes meanwhile, in this thread, go to a folder of that name, which ``forget`` deletes."""
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Delete the tables written under ``folder``; what still reads them fails from then on."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/cut/{folder}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of a plan's rows as the optimiser estimates them; those of its files for a table just written."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and return the written table: lineage ends there.
 
@@ -62,7 +95,7 @@ def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     files of the plan that made it can go as soon as it is written.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/cut/{uuid.uuid4().hex}"
+    path = "/".join(filter(None, [scratch_dir(spark), "cut", _FOLDER.get(), uuid.uuid4().hex]))
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:

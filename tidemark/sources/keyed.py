@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tidemark.operators.table import KeyedTable
+    from tidemark.plans.session import Session
+
 SEPARATOR = "\x1f"
 
 
@@ -45,26 +52,41 @@ def split_updates(pairs: DataFrame, folder: str, size: int, repeats: int) -> lis
     return paths
 
 
+def update_paths(spark: SparkSession, folder: str) -> list[str]:
+    """The update files <size>-<n> of a folder, in the order of n, then of size."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    parts = [(m, str(p.toString())) for p in found if (m := re.fullmatch(r"(\d+)-(\d+)", p.getName()))]
+    return [p for _, p in sorted(parts, key=lambda x: (int(x[0][2]), int(x[0][1])))]
+
+
+def replay(session: Session, table: KeyedTable, folder: str) -> int:
+    """Apply the update files of a folder one after another; results follow each. Returns how many there were."""
+    paths = update_paths(session.spark, folder)
+    for p in paths:
+        table.put_all(read_updates(session.spark, p))
+        session.propagate()
+    return len(paths)
+
+
 def read_oplog(spark: SparkSession, path: str) -> DataFrame:
     """(seq, batch, op, key, value) from lines ``adding|removing|updating|generated (k,v)``; ``---`` ends a batch.
 
-    Lines in the comma form ``op,key[,value]`` are read as well. Batches are numbered from 0.
+    Lines in the comma form ``op,key[,value]`` are read as well. Lines are numbered from 1, batches from 0. Each part
+    of a file counts its own lines and ends of batches, and adds those of the parts before it.
     """
-    from tidemark.plans.frame import global_rank
-
-    lines = global_rank(spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()), [F.col("_id")], "seq")
-    ends = lines.filter(F.trim("value") == "---").select(F.col("seq").alias("end"))
-    numbered = global_rank(ends, [F.col("end")], "batch_no").select("end", "batch_no")
-    spans = numbered.select((F.col("batch_no") - 1).alias("batch"), "end")
+    numbered = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_end", (F.trim("value") == "---").cast("long"))
+    parts = numbered.groupBy("_part").agg(F.count("*").alias("_lines"), F.sum("_end").alias("_ends"))  # one row a part
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_lines"), F.coalesce(F.sum("_ends").over(before), F.lit(0)).alias("_ends"))
+    within = Window.partitionBy("_part").orderBy("_id")
+    placed = numbered.withColumn("_n", F.row_number().over(within)).withColumn("_passed", F.sum("_end").over(within)).join(offsets, F.col("_part") == F.col("_p"))
     form = r"^\s*(generated|adding|removing|updating)\s*(?:\(([^,]*),(.*)\)|,([^,]*)(?:,(.*))?)\s*$"
     part = lambda i: F.regexp_extract("value", form, i)
-    parsed = lines.filter(F.col("value").rlike(form)).select("seq", part(1).alias("op"), F.when(part(2) != "", part(2)).otherwise(part(4)).alias("key"), F.when(part(2) != "", part(3)).otherwise(part(5)).alias("value"))
-    # A line belongs to the batch whose end comes next: markers and lines in one order, the next marker carried back.
-    both = parsed.withColumn("end_batch", F.lit(None).cast("long")).unionByName(spans.select(F.col("end").alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.col("batch").alias("end_batch")))
-    back = Window.partitionBy(F.lit(0)).orderBy(F.desc("seq"))  # a log is replayed in order, one stream of lines
-    carried = both.withColumn("batch", F.last("end_batch", ignorenulls=True).over(back))
-    last = spans.agg(F.coalesce(F.max("batch") + 1, F.lit(0)).alias("last"))
-    return carried.filter("op is not null").crossJoin(F.broadcast(last)).select("seq", F.coalesce("batch", "last").cast("int").alias("batch"), "op", F.trim("key").alias("key"), F.trim("value").alias("value"))
+    either = lambda a, b: F.trim(F.when(part(2) != "", part(a)).otherwise(part(b)))
+    return placed.filter(F.col("value").rlike(form)).select(
+        (F.col("_lines") + F.col("_n")).alias("seq"), (F.col("_ends") + F.col("_passed")).cast("int").alias("batch"), part(1).alias("op"), either(2, 4).alias("key"), either(3, 5).alias("value")
+    )
 
 
 def write_sorted_text(pairs: DataFrame, path: str) -> None:
