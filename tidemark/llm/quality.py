@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds (operator 6).
 
 Fixed base rules catch what is junk anywhere. What passes them is compared with its own kind: each language and
-source gets a fence around the middle of its values, read from quantile sketches. A sketch is the counts of an
+source gets a fence around the middle of its values, read from quantile sketches, its own ones drawn towards those of its
+language the more the fewer documents it has. A sketch is the counts of an
 integer value in bins of at most 1/128 relative width, so sketches merge by adding counts, in any order, with the
 same result on every run; hot sources shrink to a few thousand bins before anything is shuffled.
 """
@@ -30,8 +31,9 @@ MEASURES = {
 }
 #: A fence lies this many widths (third less first quartile) beyond a quartile.
 REACH = 3
-#: Documents that a source's or a language's sketch must hold; below, the next coarser sketch decides.
-LEAST_DOCS = 200
+#: A language's quartiles count as so many documents of each of its sources, the corpus's as so many of each language:
+#: a source of a few documents is judged nearly as its language is, one of many by its own values.
+PRIOR_DOCS = 200
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -108,27 +110,26 @@ def fences(metrics: DataFrame) -> DataFrame:
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("total"), F.col("bin")))
-    q = ranked.groupBy("level", "lang", "source", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.first("total").alias("total"))
+    q = cut(ranked.groupBy("level", "lang", "source", "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.first("total").alias("total")))
+    drawn = lambda c: F.expr(f"(total * {c} + {PRIOR_DOCS} * p_{c}) div (total + {PRIOR_DOCS})").alias(c)
+    level = lambda d, *keys: q.filter(F.col("level") == d).select(*keys, "measure", "q1", "q3", "total")
+    corpus = level(2).select(F.col("measure").alias("p_measure"), F.col("q1").alias("p_q1"), F.col("q3").alias("p_q3"))  # a row for each measure
+    languages = level(1, "lang").join(F.broadcast(corpus), F.expr("measure = p_measure")).select("lang", "measure", drawn("q1"), drawn("q3"))
+    languages = languages.select(F.col("lang").alias("p_lang"), F.col("measure").alias("p_measure"), F.col("q1").alias("p_q1"), F.col("q3").alias("p_q3"))
+    own = level(0, "lang", "source").join(languages, F.expr("lang <=> p_lang and measure = p_measure")).select("lang", "source", "measure", drawn("q1"), drawn("q3"))
     least = F.create_map(*(F.lit(x) for m, (_, _, w) in MEASURES.items() for x in (m, w)))[F.col("measure")]
     width = REACH * F.greatest(F.col("q3") - F.col("q1"), least)
-    q = q.select("level", "lang", "source", "measure", "total", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
-    pairs = sketch.select("lang", "source").distinct()
-    candidates = (
-        pairs.alias("p")
-        .join(q.alias("q"), F.expr("level = 2 or (p.lang <=> q.lang and (level = 1 or p.source <=> q.source))"))
-        .filter((F.col("q.total") >= LEAST_DOCS) | (F.col("q.level") == 2))
-        .groupBy("p.lang", "p.source", "q.measure")
-        .agg(F.min_by(F.struct("q.low", "q.high"), "q.level").alias("fence"))
-    )
-    per = [F.max(F.when(F.col("measure") == m, F.col(f"fence.{side}"))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
-    return candidates.groupBy("lang", "source").agg(*per)
+    own = own.select("lang", "source", "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    per = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")]
+    return own.groupBy("lang", "source").agg(*per)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts, ``base_failed`` and ``kept`` for every row of ``docs`` (doc_id, text, lang, source).
 
     A row is kept if it passes the base rules and lies inside all fences of its language and source. Null language
-    or source are values of their own; a null text fails the base rules; repeated rows are judged alike.
+    or source are values of their own; a null text fails the base rules; repeated rows are judged alike; an empty table
+    gives an empty result. Only these four columns are read, so no other name can clash.
     """
     metrics = cut(base_metrics(docs))
     inside = F.lit(True)
@@ -181,14 +182,14 @@ with d as (
   select level, lang, source, measure, min(case when 4 * below >= total then bin end) as q1,
     min(case when 4 * below >= 3 * total then bin end) as q3, max(total) as total
   from rk group by level, lang, source, measure
-), f as (
-  select level, lang, source, measure, total, q1 - {REACH} * greatest(q3 - q1, {_WIDTHS}) as low, q3 + {REACH} * greatest(q3 - q1, {_WIDTHS}) as high from q
+), lq as (
+  select l.lang, l.measure, (l.total * l.q1 + {PRIOR_DOCS} * c.q1) // (l.total + {PRIOR_DOCS}) as q1, (l.total * l.q3 + {PRIOR_DOCS} * c.q3) // (l.total + {PRIOR_DOCS}) as q3
+  from q l join q c on c.level = 2 and l.measure = c.measure where l.level = 1
+), sq as (
+  select s.lang, s.source, s.measure, (s.total * s.q1 + {PRIOR_DOCS} * p.q1) // (s.total + {PRIOR_DOCS}) as q1, (s.total * s.q3 + {PRIOR_DOCS} * p.q3) // (s.total + {PRIOR_DOCS}) as q3
+  from q s join lq p on s.lang is not distinct from p.lang and s.measure = p.measure where s.level = 0
 ), chosen as (
-  select p.lang, p.source, f.measure, arg_min(f.low, f.level) as low, arg_min(f.high, f.level) as high
-  from (select distinct lang, source from sk) p
-  join f on f.level = 2 or (f.level = 1 and p.lang is not distinct from f.lang)
-    or (f.level = 0 and p.lang is not distinct from f.lang and p.source is not distinct from f.source)
-  where f.total >= {LEAST_DOCS} or f.level = 2 group by all
+  select lang, source, measure, q1 - {REACH} * greatest(q3 - q1, {_WIDTHS}) as low, q3 + {REACH} * greatest(q3 - q1, {_WIDTHS}) as high from sq
 ), per as (select lang, source, {_PER} from chosen group by lang, source
 )
 select b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,
