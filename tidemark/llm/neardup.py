@@ -8,6 +8,11 @@ aside, at more than eight standard deviations, what can't reach the threshold. W
 Texts of one set form a class with one representative. Inside a bucket only pairs with the bucket's smallest
 representative are tried first; after components are known, the pairs between different components of a bucket
 follow. Pairs inside a component are never needed, so a group of any size costs about as many pairs as members.
+
+Buckets of more than CROWD rows that still hold several components, as texts made from one template give, aren't
+paired all with all. Their documents are compared by their rarest shingles instead: of two sets that reach the
+threshold, the smaller shares one of its rarest ninth with the rarest fifth of the larger. That loses no link, and texts
+that share a template but not its filling share none of their rare shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.runtime import cut
@@ -27,6 +32,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Two sketches of 0.8 similar sets differ in 46 bits on average; at 101 their similarity would be 0.5.
 MOST_BITS_APART = 100
+#: Rows up to which a group with several components is paired directly; rows times this bounds such pairs.
+CROWD = 32
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -158,12 +165,55 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
     return cut(both.filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
 
 
+def _open(groups: DataFrame) -> DataFrame:
+    """Rows of the groups (key) that hold several components (label), with the number of each group's rows."""
+    several = groups.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("low < high")
+    return groups.join(several.select("key", "rows"), "key")
+
+
+def _across(rows: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of rows of one group and different components; ``extra`` is a condition on both sides' columns."""
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{i}") for c in rows.columns if c not in ("key", "rows"))) for i in "xy")
+    pairs = x.join(y, "key").filter("label_x < label_y" if extra is None else F.expr("label_x <> label_y") & extra)
+    return pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
+def rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups (key, doc_id, label, n, low) of documents by their rarest shingles, frequent ones in the crowd last.
+
+    With n shingles, a set of 100 * intersection >= percent * union has a shingle among its n - ceil(percent * n / 100)
+    + 1 rarest in common with the other; where the other is no smaller, even among its rarest n - ceil(2 * percent * n /
+    (100 + percent)) + 1, which are marked ``low``.
+    """
+    members = crowd.join(sets, "doc_id").select("doc_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    counts = members.groupBy("key").agg(F.count("*").alias("times"))
+    ranked = members.join(counts, "key").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "key")))
+    least = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    lower = F.expr(f"n - (2 * {percent} * n + {100 + percent - 1}) div {100 + percent} + 1")
+    return ranked.filter((F.col("place") <= least) & (F.col("times") > 1)).select("key", "doc_id", "label", "n", (F.col("place") <= lower).alias("low"))
+
+
+def crowd_links(crowd: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of a crowd (doc_id, label) by rare shingles, the smallest document of each
+    shingle first, then pairs between what is still apart."""
+    near = F.expr(f"low_x and n_x <= n_y and 100 * n_x >= {percent} * n_y")
+    rare = cut(rare_shingles(crowd, sets, percent))
+    groups = _open(rare)
+    leaders = rare.groupBy("key").agg(F.min("doc_id").alias("leader"))
+    large = groups.filter(F.col("rows") > CROWD).join(leaders, "key").filter("doc_id <> leader")
+    first = confirmed(large.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), reps, sets, percent)
+    labels = components(first.unionByName(crowd.filter("doc_id <> label").select(F.col("label").alias("a"), F.col("doc_id").alias("b"))))
+    moved = cut(rare.join(labels.withColumnRenamed("label", "fresh"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("fresh", "label").alias("label"), "n", "low"))
+    return first.unionByName(confirmed(_across(_open(moved), near), reps, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     Documents whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the
     smallest doc_id reachable and kept marks that document. Null and empty texts have no shingles and no links.
-    Rows that repeat an id belong together; a null id is linked with nothing, has a null component and is kept.
+    Rows that repeat an id belong together; a null id is linked with nothing, has a null component and is kept. An empty
+    table gives an empty result; other columns than these two aren't read, so their names can't clash.
     """
     if percent < 80:
         raise ValueError("bands and sketches are set for similarities of 0.8 and more")
@@ -180,15 +230,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = cut(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi"), words))
 
     stars = bucketed.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = confirmed(stars, reps, sets, percent)
-    labels = components(first)
+    links = confirmed(stars, reps, sets, percent)
+    labels = components(links)
     placed = bucketed.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_rows = cut(placed.join(split, "key"))
-    x, y = (open_rows.select("key", F.col("doc_id").alias(i), F.col("label").alias(f"l_{i}")) for i in "ab")
-    across = x.join(y, "key").filter("l_a < l_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = confirmed(across, reps, sets, percent)
-    found = components(first.union(second)) if second.limit(1).count() else labels
+    open_rows = cut(_open(placed))
+    more = confirmed(_across(open_rows.filter(F.col("rows") <= CROWD)), reps, sets, percent)
+    crowd = cut(open_rows.filter(F.col("rows") > CROWD).select("doc_id", "label").distinct())
+    if crowd.limit(1).count():
+        more = more.unionByName(crowd_links(crowd, reps, sets, percent))
+    found = components(links.union(more)) if more.limit(1).count() else labels
 
     members = linked.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"])
     with_links = members.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
