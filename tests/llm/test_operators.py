@@ -304,6 +304,30 @@ def test_near_duplicates(docs, empty):
     assert neardup.near_duplicates(empty, 4).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_crowded_buckets_lose_no_link(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common + [f"f{i // 3 if i % 2 else i}-{j}" for j in range(rng.choice([20, 30, 40]))])) for i in range(60)]
+    rows += [(r.doc_id + 1000, r.text) for r in docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
+    want = brute_components(rows, 4)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_texts_of_one_template_cost_few_pairs(spark, monkeypatch):
+    """Texts that share 120 of 160 words are alike to 0.6: many buckets, no link, and pairs in proportion to the texts."""
+    tried, confirmed = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *more: (tried.append(pairs.count()), confirmed(pairs, *more))[1])
+    common = [f"c{i}" for i in range(120)]
+    for n in (150, 600):
+        tried.clear()
+        rows = [(i, " ".join(common + [f"f{i}-{j}" for j in range(40)])) for i in range(n)]
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+        assert all(r.kept for r in got) and sum(tried) < 40 * n
+
+
 def test_chains_reach_their_smallest_id(spark):
     """Each text shares enough with the next, the first and the last share nothing."""
     w = [f"w{i}" for i in range(400)]
@@ -366,15 +390,15 @@ def test_queries_go_on_until_partitions_hold_enough(spark):
 
 
 def test_small_partitions_give_all_neighbours(spark, monkeypatch):
-    def skewed(x, m, k):  # vectors whose first component is positive go to a partition of five rows
+    def skewed(x, m):  # vectors whose first component is positive go to a partition of five rows
         w2 = np.zeros((ann.HIDDEN, m))
         w2[0, 1] = 10.0
         w1 = np.zeros((x.shape[1], ann.HIDDEN))
         w1[0, 0] = 10.0
-        return ann.Router(w1, np.zeros(ann.HIDDEN), w2, np.eye(m)[0])
+        return ann.Router(w1, np.zeros(ann.HIDDEN), w2, np.eye(m)[0] - np.arange(m))
 
     monkeypatch.setattr(ann, "fit_router", skewed)
-    monkeypatch.setattr(ann, "ROWS_PER_PARTITION", 64)
+    monkeypatch.setattr(ann, "probes_needed", lambda *a: 1)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(120, 4))
     x[:, 0] = -np.abs(x[:, 0])
@@ -384,6 +408,46 @@ def test_small_partitions_give_all_neighbours(spark, monkeypatch):
     assert got == {i: 20 for i in range(120)}
 
 
+def recall(x, k, found):
+    hits = 0
+    for q, ids in found.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s, kind="stable")[:k].tolist()) & set(ids))
+    return hits / (k * len(found))
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clusters", "norms"])
+def test_two_levels_of_partitions(spark, monkeypatch, kind):
+    """Partitions grow with the rows, hold about as many rows each, and recall stays."""
+    monkeypatch.setattr(ann, "FAN_OUT", 8)
+    monkeypatch.setattr(ann, "ROWS_PER_PARTITION", 128)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 16))
+    if kind == "clusters":
+        x = rng.normal(size=(200, 16))[rng.integers(0, 200, 4000)] + 0.2 * x
+    if kind == "norms":
+        x *= np.exp(rng.normal(size=(4000, 1)))
+    assert ann.widths(4000) == (8, 4) and ann.widths(10) == (4, 1) and ann.widths(500) == (4, 1)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.nearest(d, d.filter("vec_id % 20 = 0"), 20).collect():
+        found[r.query_id].append(r.vec_id)
+    assert all(len(v) == 20 for v in found.values()) and len(found) == 200
+    assert recall(x, 20, found) >= 0.9
+    net = ann.fit_router(x[:2000], 8)
+    sizes = np.bincount(net(x[2000:]).argmax(axis=1), minlength=8)
+    assert sizes.min() > 0 and sizes.max() <= 3 * sizes.mean()
+
+
+def test_repeated_row_ids_are_all_found(spark):
+    rows = [(i % 10, [float(i), 1.0]) for i in range(30)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in ann.nearest(d, d.filter("vec_id = 3"), 40).orderBy("rank").collect()]
+    want = sorted(((k, v[0] * 3.0 + 1.0) for k, v in rows if k != 3), key=lambda x: (-x[1], x[0]))
+    assert got == want
+
+
 def test_ties_of_many_distinct_vectors():
     rng = np.random.default_rng(8)
     x = np.unique(rng.integers(0, 3, (900, 8)).astype(float), axis=0)  # few values: most products tie

@@ -1,15 +1,19 @@
 """Nearest neighbours by learned partitions (operator 9).
 
 A bounded sample gives a graph of nearest neighbours. The graph is cut into partitions of equal size with few edges
-between them, and a small network learns to tell, from a vector alone, which partitions hold its neighbours. Every
-row is indexed in its most probable partition; a query visits its most probable ones, as many as the sample shows to
-be needed for the recall asked for, and what it finds there is ranked by exact inner products.
+between them, and a small network learns to tell, from a vector alone, which partitions hold its neighbours; its biases
+are then set so that it fills the partitions evenly. Every row is indexed in its most probable partition; a query visits
+its most probable ones, as many as rows kept out of the fit show to be needed for the recall asked for, and what it
+finds there is ranked by exact inner products.
+
+Partitions grow in number with the rows: each of the FAN_OUT partitions of a large table is parted again, by a network
+fitted to a sample of its own rows, and a partition's probability is the product of both. A model stays within 6 MB.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +23,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.sampling import rows_of, sample_keys
 from tidemark.runtime import cut
 
-#: Rows that the fit reads, at most; the index holds all rows.
+#: Rows that one network's fit reads, at most; the index holds all rows.
 SAMPLE_ROWS = 4096
 GRAPH_DEGREE = 16
 ROWS_PER_PARTITION = 1024
-MOST_PARTITIONS = 64
-#: Share of the sample's true neighbours that the visited partitions must hold.
+#: Partitions that one network tells apart, at least and at most; two levels of networks make FAN_OUT ** 2 at most.
+LEAST_PARTITIONS, FAN_OUT = 4, 64
+#: One sample row in so many is kept out of the fit, to set the number of probes.
+KEPT_OUT = 4
+#: Share of those rows' true neighbours in the sample that the visited partitions must hold.
 COVERAGE = 0.96
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
 HIDDEN, STEPS, BATCH = 64, 300, 512
@@ -75,22 +82,60 @@ def balanced_partition(graph: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
 class Router:
     """One hidden layer; probabilities of the partitions that hold a vector's neighbours."""
 
-    def __init__(self, w1, b1, w2, b2, scale: float = 1.0, probes: int = 1):
-        self.w1, self.b1, self.w2, self.b2, self.scale, self.probes = w1, b1, w2, b2, float(scale), int(probes)
+    def __init__(self, w1, b1, w2, b2, scale: float = 1.0):
+        self.w1, self.b1, self.w2, self.b2, self.scale = w1, b1, w2, b2, float(scale)
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(x / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        z = np.maximum(x / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        z = self.logits(x)
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"w1": self.w1, "b1": self.b1, "w2": self.w2, "b2": self.b2, "scale": np.float64(self.scale)}
+
+
+class Tree:
+    """A network over partitions and, for a large table, one inside each of them."""
+
+    def __init__(self, root: Router, inner: list[Router] | None = None):
+        self.root, self.inner = root, inner or []
+
+    @property
+    def leaves(self) -> int:
+        return self.root.w2.shape[1] * (self.inner[0].w2.shape[1] if self.inner else 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        p = self.root(x)
+        return np.concatenate([p[:, [i]] * net(x) for i, net in enumerate(self.inner)], axis=1) if self.inner else p
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The partition of each row: that of the root first, then the most probable one inside."""
+        part = self.root(x).argmax(axis=1)
+        if not self.inner:
+            return part
+        leaf = np.zeros(len(x), dtype=np.int64)
+        for i in np.unique(part):
+            at = np.flatnonzero(part == i)
+            leaf[at] = i * self.inner[i].w2.shape[1] + self.inner[i](x[at]).argmax(axis=1)
+        return leaf
+
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, w1=self.w1, b1=self.b1, w2=self.w2, b2=self.b2, scale=self.scale, probes=self.probes)
+        np.savez(out, **{f"{i}_{k}": v for i, net in enumerate([self.root, *self.inner]) for k, v in net.arrays().items()})
         return out.getvalue()
 
     @staticmethod
-    def load(raw: bytes) -> Router:
-        return Router(**np.load(io.BytesIO(raw)))
+    def load(raw: bytes) -> Tree:
+        held = np.load(io.BytesIO(raw))
+        nets: dict[int, dict] = {}
+        for name in held.files:
+            i, k = name.split("_", 1)
+            nets.setdefault(int(i), {})[k] = held[name]
+        root, *inner = [Router(**nets[i]) for i in sorted(nets)]
+        return Tree(root, inner)
 
 
 def _train(x: np.ndarray, goal: np.ndarray, rng: np.random.Generator) -> Router:
@@ -112,32 +157,68 @@ def _train(x: np.ndarray, goal: np.ndarray, rng: np.random.Generator) -> Router:
     return net
 
 
-def fit_router(x: np.ndarray, m: int, k: int) -> Router:
-    """Graph, balanced partition, network and number of probes from sample vectors (double)."""
+def balance(net: Router, x: np.ndarray) -> None:
+    """Set the biases so that the rows' most probable partitions hold about as many rows each."""
+    z = net.logits(x) - net.b2
+    bias, best, m = net.b2.copy(), None, net.w2.shape[1]
+    rate = 0.3 * float(z.std())
+    for step in range(120):
+        counts = np.bincount((z + bias).argmax(axis=1), minlength=m)
+        if best is None or counts.max() < best[0]:
+            best = (counts.max(), bias.copy())
+        bias = bias + rate / (1 + step / 20) * np.log((len(x) / m + 1) / (counts + 1))
+    net.b2 = best[1]
+
+
+def _closest(x: np.ndarray, degree: int) -> np.ndarray:
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    return np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+
+
+def fit_router(x: np.ndarray, m: int) -> Router:
+    """Graph, balanced partition and network from sample vectors (double); one row in KEPT_OUT takes no part."""
     rng = np.random.default_rng(9)
-    n = len(x)
+    fitted = x[np.arange(len(x)) % KEPT_OUT != KEPT_OUT - 1]
+    n = len(fitted)
     if n < 2:
-        return Router(np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1))
+        return Router(np.zeros((x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, m)), np.zeros(m))
     degree = min(GRAPH_DEGREE, n - 1)
-    s = x @ x.T
-    np.fill_diagonal(s, -np.inf)
-    graph = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
-    label = balanced_partition(graph, x, m)
+    graph = _closest(fitted, degree)
+    label = balanced_partition(graph, fitted, m)
     goal = np.zeros((n, m))
     np.add.at(goal, (np.repeat(np.arange(n), degree), label[graph].ravel()), 1 / (degree + 1))
     goal[np.arange(n), label] += 1 / (degree + 1)
-    net = _train(x, goal, rng)
-    p = net(x)
-    home = p.argmax(axis=1)  # where the index puts them
-    near = np.argpartition(-s, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
-    place = np.empty_like(home, shape=(n, m))
-    np.put_along_axis(place, np.argsort(-p, axis=1, kind="stable"), np.arange(m)[None, :], axis=1)
-    needed = place[np.arange(n)[:, None], home[near]]
-    covered = [(needed < c).mean() for c in range(1, m + 1)]
-    net.probes = next((c for c, share in enumerate(covered, 1) if share >= COVERAGE), m)
+    net = _train(fitted, goal, rng)
+    balance(net, fitted)
     return net
 
 
+def probes_needed(tree: Tree, x: np.ndarray, k: int) -> int:
+    """Partitions that rows kept out of the fit must visit to find COVERAGE of their ``k`` nearest in the sample."""
+    n, m = len(x), tree.leaves
+    asked = np.arange(KEPT_OUT - 1, n, KEPT_OUT)
+    if not len(asked):
+        return 1
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, n - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    p, home = tree(x[asked]), tree.home(x)
+    place = np.empty((len(asked), m), dtype=np.int32)
+    np.put_along_axis(place, np.argsort(-p, axis=1, kind="stable").astype(np.int32), np.arange(m, dtype=np.int32)[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))) - 1)]) + 1
+
+
+def widths(rows: int) -> tuple[int, int]:
+    """Partitions of the first level and inside each of them, powers of two, for so many rows."""
+    wanted = LEAST_PARTITIONS
+    while wanted < FAN_OUT**2 and wanted * ROWS_PER_PARTITION < rows:
+        wanted *= 2
+    return min(wanted, FAN_OUT), max(1, wanted // FAN_OUT)
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, not zero, every component a finite number."""
     v = vector.cast("array<double>")
@@ -213,14 +294,48 @@ def visited(p: np.ndarray, sizes: np.ndarray, own: list, probes: int, k: int) ->
     return [o[:c].tolist() for o, c in zip(order, needed)]
 
 
+def _fit_in_one_task(sample: DataFrame, run: Callable[[np.ndarray], bytes], dim: int) -> bytes:
+    """``run`` on the vectors of a bounded sample, in the order of their ids."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [matrix(b.column(0)) for b in batches if b.num_rows]
+        yield pa.RecordBatch.from_arrays([pa.array([run(np.concatenate(parts)[:SAMPLE_ROWS] if parts else np.zeros((0, dim)))], pa.binary())], ["model"])
+
+    one = sample.repartition(1).sortWithinPartitions("vec_id", "v").select("v")
+    return bytes(one.mapInArrow(fit, "model binary").first()["model"])
+
+
+def _inner_routers(base: DataFrame, root: Router, m: int, dim: int) -> list[Router]:
+    """A network for each partition of the root, fitted to the SAMPLE_ROWS rows of the smallest hashes homed there."""
+    raw = base.sparkSession.sparkContext.broadcast(Tree(root).dump())
+
+    def homed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree.load(raw.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.home(matrix(b.column(1))) if b.num_rows else [], pa.int32())], ["vec_id", "v", "part"])
+
+    def fit(rows: pa.Table) -> pa.Table:
+        net = fit_router(matrix(rows.sort_by("vec_id")["v"]), m)
+        return pa.table({"part": rows["part"][:1], "model": pa.array([Tree(net).dump()], pa.binary())})
+
+    first = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(9), "vec_id"), "vec_id", "v")
+    placed = base.mapInArrow(homed, "vec_id long, v array<double>, part int")
+    sample = placed.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_ROWS).drop("place")
+    made = sample.groupBy("part").applyInArrow(fit, "part int, model binary").collect()  # at most FAN_OUT rows
+    nothing = fit_router(np.zeros((0, dim)), m)
+    nets = {r["part"]: Tree.load(bytes(r["model"])).root for r in made}
+    return [nets.get(i, nothing) for i in range(root.w2.shape[1])]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding) found for each row of ``queries`` (same columns).
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a row never finds its own id.
     Returns query_id, rank (from 1), vec_id, score. Vectors that are null, zero, of another length than most, or
     hold null or non-finite components take no part. A query id that repeats is searched once, with its smallest
-    vector. A query goes on down its ranked partitions until they hold k rows of other ids: with k candidates or fewer
-    all are returned.
+    vector; a row id that repeats is found as often as it occurs. A query goes on down its ranked partitions until they
+    hold k rows of other ids: with k candidates or fewer all are returned. An empty table gives an empty result; only the
+    two columns are read, so no other name can clash.
     """
     spark = vectors.sparkSession
     clean = lambda d: d.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -231,36 +346,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], result)
     dim, rows = lengths[0]["d"], lengths[0]["n"]
     base, asked = base.filter(F.size("v") == dim), asked.filter(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
-    m = 1
-    while m < MOST_PARTITIONS and m * ROWS_PER_PARTITION < rows:
-        m *= 2
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [matrix(b.column(0)) for b in batches if b.num_rows]
-        x = np.concatenate(parts)[:SAMPLE_ROWS] if parts else np.zeros((0, dim))
-        yield pa.RecordBatch.from_arrays([pa.array([fit_router(x, m, k).dump()], pa.binary())], ["model"])
-
-    sample = rows_of(base, sample_keys(base, "vec_id", SAMPLE_ROWS, 9), "vec_id").repartition(1).sortWithinPartitions("vec_id", "v")
-    raw = bytes(sample.select("v").mapInArrow(fit, "model binary").first()["model"])
-    shared = spark.sparkContext.broadcast(raw)
+    outer, inner = widths(rows)
+    sample = cut(rows_of(base, sample_keys(base, "vec_id", SAMPLE_ROWS, 9), "vec_id"))
+    tree = Tree.load(_fit_in_one_task(sample, lambda x: Tree(fit_router(x, outer)).dump(), dim))
+    if inner > 1:
+        tree = Tree(tree.root, _inner_routers(base, tree.root, inner, dim))
+    m = tree.leaves
+    shared = spark.sparkContext.broadcast(tree.dump())
+    probes = int(_fit_in_one_task(sample, lambda x: str(probes_needed(Tree.load(shared.value), x, k)).encode(), dim))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Router.load(shared.value)
+        tree = Tree.load(shared.value)
         for b in batches:
-            part = net(matrix(b.column(1))).argmax(axis=1) if b.num_rows else []
+            part = tree.home(matrix(b.column(1))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
 
     index = cut(base.mapInArrow(home, "vec_id long, v array<double>, part int"))
     sizes = np.zeros(m, dtype=np.int64)
-    for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most MOST_PARTITIONS rows
+    for r in index.groupBy("part").agg(F.count("*").alias("n")).collect():  # at most FAN_OUT ** 2 rows
         sizes[r["part"]] = r["n"]
     own = index.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id", "part").agg(F.count("*").alias("n"))
     own = own.groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Router.load(shared.value)
+        tree = Tree.load(shared.value)
         for b in batches:
-            visits = visited(net(matrix(b.column(1))), sizes, b.column(2).to_pylist(), net.probes, k) if b.num_rows else []
+            visits = visited(tree(matrix(b.column(1))), sizes, b.column(2).to_pylist(), probes, k) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(visits, pa.list_(pa.int32()))], ["query_id", "q", "visits"])
 
     known = asked.join(own, "vec_id", "left").select("vec_id", "v", "own")
