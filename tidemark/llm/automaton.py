@@ -7,8 +7,13 @@ the last gadget an arc ``u -> t`` exists exactly if a tokenizer that applies the
 can leave ``u`` beside ``t``; for each byte string one path is left, its tokenization.
 
 The arc table of 50,000 states would be dense, so it is held as its gadgets: two arrays of parts and one table of
-merges. An arc is looked up by undoing gadgets, latest first, and then kept in a table. Encoding a pre-split word
-fills, for each end position, the state that the word's prefix ends in; decoding emits the labels of the arcs.
+merges. An arc is looked up by undoing gadgets, latest first, and then kept in a table.
+
+A pre-split word is encoded in one pass over its bytes, without going back: a byte takes a table of transitions from
+one node to the next, a node being the longest end of what was read that begins some label, and a node names the
+labels that end there, the longest first. The first of these that has an arc from the state of the prefix before it
+is the state of the prefix it ends; a prefix has only one path, so no other could follow. Decoding emits the labels of
+the arcs.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ import numpy as np
 import regex
 
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that the table of words and the table of arcs may hold before they start anew.
-WORDS_KEPT = 400_000
-ARCS_KEPT = 500_000
+#: Entries that the tables of words, arcs and transitions may hold before they start anew, and bytes of all words kept.
+WORDS_KEPT, WORD_BYTES_KEPT = 400_000, 48 << 20
+ARCS_KEPT = STEPS_KEPT = 500_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -35,6 +40,20 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+class _Words(dict):
+    """Packed ids of words, encoded when first asked for; a special token stands for itself."""
+
+    def __init__(self, automaton: MergeAutomaton):
+        super().__init__()
+        self.automaton, self.held = automaton, 0
+
+    def __missing__(self, word: str | int) -> bytes:
+        ids = [word] if isinstance(word, int) else self.automaton.encode_bytes(word.encode("utf-8"))
+        packed = self[word] = array("i", ids).tobytes()
+        self.held += len(packed) + (0 if isinstance(word, int) else len(word))
+        return packed
+
+
 class MergeAutomaton:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -52,7 +71,6 @@ class MergeAutomaton:
         self._spelled = [bytes([b]) for b in range(256)]
         self.merge: dict[int, int] = {}
         self.arcs: dict[int, bool] = {}
-        self.longest = 1
         known = {letter: byte for letter, byte in letters.items()}
         for pair in model["merges"]:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -68,7 +86,7 @@ class MergeAutomaton:
             self.labels[i] = token.encode()
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._split = regex.compile(SPLIT)
-        self._words: dict[str, bytes] = {}
+        self._words = _Words(self)
 
     def _gadget(self, a: int, b: int, token: int, label: bytes) -> None:
         c = len(self.ids)
@@ -79,7 +97,6 @@ class MergeAutomaton:
         self.merge.setdefault(a << 20 | b, c)
         if alive:  # else no path is left that this gadget could shorten: the token can't occur
             self.state_of[label] = c
-            self.longest = max(self.longest, len(label))
         self._spelled.append(label)
 
     def _path(self, u: int, t: int, limit: int) -> bool:
@@ -108,97 +125,97 @@ class MergeAutomaton:
         return found
 
     def _tables(self) -> None:
-        """Byte transitions to the longest label that starts somewhere, and each label's longest proper prefix."""
-        self.edges: dict[int, int] = {}
-        token_at, self.size, self.shorter = [-1], [0] * len(self.ids), [-1] * len(self.ids)
-        for label, state in sorted(self.state_of.items(), key=lambda x: len(x[0])):
-            node, last = 0, -1
+        """Transitions by bytes between the beginnings of labels, each one's longest proper end that is one too, and
+        for each label the next shorter label that ends it."""
+        edges: dict[int, int] = {}
+        token_at, order = [-1], [(0, 0)]
+        self.size, self.shorter = array("i", [0]) * len(self.ids), array("i", [-1]) * len(self.ids)
+        for label, state in self.state_of.items():
+            node = 0
             for byte in label:
                 key = node << 8 | byte
-                node = self.edges.get(key, 0)
+                node = edges.get(key, 0)
                 if not node:
-                    node = self.edges[key] = len(token_at)
+                    node = edges[key] = len(token_at)
                     token_at.append(-1)
-                elif token_at[node] >= 0:
-                    last = token_at[node]
-            token_at[node], self.size[state], self.shorter[state] = state, len(label), last
-        self.token_at = array("i", token_at)
-        self.size, self.shorter = array("i", self.size), array("i", self.shorter)
-
-    def _longest(self, word: bytes, pos: int) -> int:
-        node, found, edges, token_at = 0, -1, self.edges, self.token_at
-        for byte in word[pos : pos + self.longest]:
-            node = edges.get(node << 8 | byte)
-            if node is None:
-                break
+                    order.append((key >> 8, byte))
+            token_at[node], self.size[state] = state, len(label)
+        depth = [0] * len(token_at)
+        for node in range(1, len(token_at)):
+            depth[node] = depth[order[node][0]] + 1
+        fail, ends = array("i", [0]) * len(token_at), array("i", [-1]) * len(token_at)
+        for node in sorted(range(1, len(token_at)), key=depth.__getitem__):
+            above, byte = order[node]
+            back = fail[above]
+            while above and back and (back << 8 | byte) not in edges:
+                back = fail[back]
+            fail[node] = edges.get(back << 8 | byte, 0) if above else 0
+            ends[node] = ends[fail[node]]
             if token_at[node] >= 0:
-                found = token_at[node]
+                self.shorter[token_at[node]] = ends[fail[node]]
+                ends[node] = token_at[node]
+        self.edges, self.fail, self.ends, self.steps = edges, fail, ends, dict(edges)
+
+    def _step(self, node: int, byte: int) -> int:
+        """The node after a byte that continues no label from ``node``; kept in the table of transitions."""
+        key, edges = node << 8 | byte, self.edges
+        while node and (node << 8 | byte) not in edges:
+            node = self.fail[node]
+        if len(self.steps) >= len(edges) + STEPS_KEPT:
+            self.steps = dict(edges)
+        found = self.steps[key] = edges.get(node << 8 | byte, 0)
         return found
 
     def encode_bytes(self, word: bytes) -> list[int]:
-        """Token ids of one pre-split word: the only path of the automaton that spells it.
-
-        From each position the longest label is tried first, then its prefixes. The path to a position is unique,
-        so a position from which nothing led on is never tried again: steps are linear in the word's length.
-        """
-        n = len(word)
-        if n <= self.longest:
-            whole = self.state_of.get(word)
-            if whole is not None:
-                return [self.ids[whole]]
-        size, shorter, arcs, arc = self.size, self.shorter, self.arcs, self.arc
-        path: list[int] = []
-        dead: set[int] = set()
-        pos, last = 0, -1
-        t = self._longest(word, 0) if n else -1
-        while pos < n:
-            while t >= 0:
-                if pos + size[t] not in dead:
-                    if last < 0:
-                        break
-                    ok = arcs.get(last << 20 | t)
-                    if ok or (ok is None and arc(last, t)):
-                        break
-                t = shorter[t]
-            if t >= 0:
-                path.append(t)
-                pos, last = pos + size[t], t
-                t = self._longest(word, pos)
-            else:
-                dead.add(pos)
-                t = path.pop()
-                pos -= size[t]
-                last = path[-1] if path else -1
+        """Token ids of one pre-split word: the only path of the automaton that spells it."""
+        whole = self.state_of.get(word)
+        if whole is not None:
+            return [self.ids[whole]]
+        steps, ends, size, shorter, arcs, arc = self.steps, self.ends, self.size, self.shorter, self.arcs, self.arc
+        states, node = [-1], 0
+        for end, byte in enumerate(word, 1):
+            following = steps.get(node << 8 | byte)
+            if following is None:
+                following = self._step(node, byte)
+                steps = self.steps
+            node = following
+            t = ends[node]
+            while True:
+                before = states[end - size[t]]
+                if before < 0:
+                    break
+                ok = arcs.get(before << 20 | t)
+                if ok or (ok is None and arc(before, t)):
+                    break
                 t = shorter[t]
-        ids = self.ids
-        return [ids[t] for t in path]
-
-    def pieces(self, text: str):
+            states.append(t)
+        out, end, ids = [], len(word), self.ids
+        while end:
+            t = states[end]
+            out.append(ids[t])
+            end -= size[t]
+        out.reverse()
+        return out
+
+    def pieces(self, text: str) -> list[str | int]:
         """Pre-split words of a text, and special tokens as their ids."""
         if self._special is None or "<|" not in text:
-            yield from self._split.findall(text)
-            return
+            return self._split.findall(text)
+        out: list[str | int] = []
         for part in self._special.split(text):
             if part in self.special:
-                yield self.special[part]
+                out.append(self.special[part])
             elif part:
-                yield from self._split.findall(part)
+                out += self._split.findall(part)
+        return out
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of a whole text as native 32-bit integers; empty for null."""
         if not text:
             return b""
-        words = self._words
-        if len(words) > WORDS_KEPT:
-            words.clear()
-        out = []
-        for w in self.pieces(text):
-            packed = words.get(w)
-            if packed is None:
-                ids = [w] if isinstance(w, int) else self.encode_bytes(w.encode("utf-8"))
-                packed = words[w] = array("i", ids).tobytes()
-            out.append(packed)
-        return b"".join(out)
+        if len(self._words) > WORDS_KEPT or self._words.held > WORD_BYTES_KEPT:
+            self._words = _Words(self)
+        return b"".join(map(self._words.__getitem__, self.pieces(text)))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype=np.int32).tolist()
