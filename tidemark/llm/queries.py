@@ -12,6 +12,12 @@ from tidemark.runtime import prepare, scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+#: The session's setting that names the secret key of pseudonyms, and what the registered queries use where it is unset.
+PII_KEY, DEMONSTRATION_KEY = "spark.tidemark.pseudonyms.key", "for demonstration only"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY, DEMONSTRATION_KEY)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.pii import pseudonymise
 
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, count="n_pseudonyms")
+    return pseudonymise(docs, pii_key(spark), count="n_pseudonyms")
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_token_files": op5_token_files, "op6_quality_rules": op6_quality_rules, "op7_repeated_passages": op7_repeated_passages, "op8_near_duplicates": op8_near_duplicates, "op9_nearest": op9_nearest, "op10_pii": op10_pii}
