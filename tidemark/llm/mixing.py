@@ -20,7 +20,8 @@ from tidemark.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-STEPS = 40
+#: Newton steps allowed; with brackets that halve, far fewer are needed.
+STEPS = 120
 GAP = 1e-6
 #: Documents of each source and size class (powers of two) that may settle its rounding error.
 SETTLERS = 48
@@ -55,7 +56,8 @@ def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """Multiplier of each source: (source, source_size, target, mean, multiplier).
 
     Newton steps on each source's dual, kept inside a bracket. The state has one row per source; gradients and
-    curvatures are sums over the counts of sizes; only the widest remaining gap comes to the driver.
+    curvatures are sums over the counts of sizes; the driver only learns whether a source is still open. A source that
+    stays open for STEPS steps raises.
     """
     top = float(MAX_COPIES)
     state = goals.select(
@@ -88,6 +90,8 @@ def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         if not state.filter("not done").limit(1).count():
             break
         state = state.drop("done")
+    else:
+        raise RuntimeError(f"sources without a solution after {STEPS} Newton steps")
     return state.select("source", "source_size", "target", "mean", "multiplier", (F.col("target") >= top * F.col("source_size") * (1 - 1e-12)).alias("capped"))
 
 
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Returns (doc_id, source, size, source_size, target, rate, copies, taken) with taken = copies * size and at most
     three copies. Null text has size 0 and one copy; a null source is a source of its own, last in order; rows that
     repeat an id get the same copies if their sizes agree; a null id is a value like others; an empty table gives
-    an empty result. The same table gives the same copies on every run.
+    an empty result; only the three columns are read, so no other name can clash. The same table gives the same copies on every run.
     """
     kind = docs.schema[key].dataType.simpleString()
     sizes = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
