@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.sampling import rows_of, sample_keys
 
@@ -72,7 +73,8 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights that aren't zero, learnt from a bounded sample of the labelled rows that aren't held out.
 
-    ``labels`` (doc_id, toxic): null labels are left out; where a document is labelled more than once, toxic wins.
+    ``labels`` (doc_id, toxic): null labels are left out; where a document is labelled more than once, toxic wins; of
+    rows that repeat an id one is learnt from, that of the smallest text.
     One task reads the sample once in the order of its hashes, so a fit repeats exactly. With no labelled rows
     there are no weights and every score is 0.5.
     """
@@ -80,6 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     chosen = sample_keys(known, "doc_id", MAX_TRAINING_ROWS, 3)
     marks = rows_of(known.select("doc_id", "toxic"), chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """Score (``out``, double, 0 to 1) of every whole text beside the columns ``keep``; an empty text has the intercept's score."""
+    """Score (``out``, double, 0 to 1) of every whole text beside the columns ``keep``, whatever their names.
+
+    An empty text has the intercept's score. Only ``out`` must not be among the names kept, if it is to be told apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.int32), model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +120,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*keep, out])
 
     chosen = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    kinds = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
-    return chosen.mapInArrow(run, ", ".join([*kinds, f"{out} double"]))
+    return chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[1:], T.StructField(out, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from a score of 0.7) for every row of ``docs``, scored whole.
 
     Only the text enters a score: labels, lang, source and doc_id don't. Null and empty texts get the intercept's
-    score; repeated rows score alike; an empty table gives an empty result.
+    score; repeated rows score alike; an empty table gives an empty result; other columns aren't read.
     """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
