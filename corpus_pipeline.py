@@ -2,28 +2,36 @@
 for personal data, mix sources to target weights, encode.
 
 Each stage takes the documents its predecessor kept, as a table written and read again, and all but the last return
-the columns of documents.
+the columns of documents. Rows travel packed in one column, so no column of theirs can clash with a stage's own; an empty
+table passes every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, neardup, pii, toxicity
+from tidemark.llm.queries import pii_key
 from tidemark.runtime import cut, prepare, table
 
 #: The last stage encodes, and no SQL expresses that; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Whole rows as one column ``row``, beside what a stage needs of them; null where a row is only nulls."""
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the fit never sees held-out labels. Empty texts stay."""
+    """Documents that score below the threshold; the fit never sees held-out labels. Null and empty texts stay, and
+    repeated rows are judged alike."""
     prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, tuple(docs.columns), out="__tm_score")
-    return scored.filter(F.col("__tm_score") < toxicity.PREDICT_FROM).drop("__tm_score")
+    scored = toxicity.score(packed(docs, F.col("text")), model, ("row",), out="score")
+    return scored.filter(F.col("score") < toxicity.PREDICT_FROM).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,27 +46,34 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return kept
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("__tm_turn", F.row_number().over(turn)).filter("__tm_turn = 1").drop("__tm_turn")
+    turn = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"))
+    first = packed(kept.join(repeated, "doc_id", "left_semi")).withColumn("turn", F.row_number().over(turn)).filter("turn = 1").select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by format-preserving pseudonyms."""
-    return pii.pseudonymise(docs).select(*docs.columns)
+    """All documents, personal data in their texts replaced by format-preserving pseudonyms under the session's key.
+
+    Null and empty texts and all other columns stay as they are; repeated rows are treated alike.
+    """
+    return pii.pseudonymise(docs, pii_key(spark)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
+    """Each document as often as the mix takes it: not at all, or up to three times.
+
+    Texts without words are taken once; rows of one id, source and size are taken alike; null sources are one source.
+    """
     prepare(spark)
-    mixed = mixing.mix(docs).select(F.col("doc_id").alias("__tm_id"), F.col("source").alias("__tm_source"), F.col("size").alias("__tm_size"), F.col("copies").alias("__tm_copies")).distinct()
-    sized = docs.withColumn("__tm_words", mixing.word_count(F.col("text")))
-    taken = sized.join(mixed.filter("__tm_copies > 0"), F.expr("doc_id <=> __tm_id and source <=> __tm_source and __tm_words = __tm_size"))
-    return taken.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("__tm_copies")))).select(*docs.columns)
+    mixed = mixing.mix(docs).select("doc_id", "source", "size", "copies").distinct()
+    sized = packed(docs, mixing.word_count(F.col("text")).alias("words"))
+    taken = sized.join(mixed.filter("copies > 0"), F.expr("row.doc_id <=> doc_id and row.source <=> source and words = size"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and a digest of what they decode to."""
+    """Token ids of every document of the mix, and a digest of what they decode to. A null text has no ids; repeated
+    rows are encoded each."""
     prepare(spark)
     encoded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
