@@ -338,11 +338,12 @@ class Join(Frame):
         a, b = self.children
         second = lambda d: d.withColumnRenamed(DIFF, "_diff2")
         times = lambda d: d.withColumn(DIFF, F.col(DIFF) * F.col("_diff2")).drop("_diff2")
-        # Each change is written once, and the other side is read under its keys only.
+        # Each change is written once, and the other side is read under its keys only, each of them named once.
+        keys = lambda d: cut(d.select(*self.on).distinct())
         parts = []
         if da is not None:
             da = cut(da)
-            parts.append(times(self._join(da, second(signed(b.at(da, self.on, "new"))))))
+            parts.append(times(self._join(da, second(signed(b.at(keys(da), self.on, "new"))))))
         if db is not None:
             db = cut(db)
             parts.append(times(self._join(signed(a.at(db, self.on, "old")), second(db))))

@@ -316,9 +316,9 @@ def for_each_chunk_sinks(spark, sf_dir):
 
 
 def _wch_chunked(docs: Frame, words: Frame) -> Frame:
-    """Counts combined inside each chunk of documents first, then across chunks for the words of the dictionary."""
-    chunks = _word_frame(docs).map_values(chunk_id="doc_id div 64").reduce_by_key(["chunk_id", "word"], count_of("n_chunk"))
-    return chunks.semi_join(words, "word").reduce_by_key("word", sum_of("n", "n_chunk"))
+    """Words of the dictionary, counted inside each chunk of documents first, then across chunks: no other word is kept."""
+    chunks = _word_frame(docs).semi_join(words, "word").map_values(chunk_id="doc_id div 64").reduce_by_key(["chunk_id", "word"], count_of("n_chunk"))
+    return chunks.reduce_by_key("word", sum_of("n", "n_chunk"))
 
 
 @query("wch_chunked", f"select word, count(*)::bigint as n from ({_WORDS}) where word in ({_DICT}) group by word")
