@@ -16,7 +16,7 @@ from tidemark.operators.agg import AggSpec
 from tidemark.operators.delta import DIFF, data_columns, negate, nullsafe, restrict, signed, union
 from tidemark.operators.store import NEW, OLD, KeyedStore, change_of, packed
 from tidemark.operators.table import KeyedTable
-from tidemark.runtime import cut
+from tidemark.runtime import cut, spread
 
 #: Hash buckets of a global reduction without inverse: a change recomputes the buckets it touches.
 BUCKETS = 64
@@ -109,6 +109,11 @@ class Frame:
         """Inner join on equal keys, with a residual condition; ``hint="merge"`` asks for a sort join."""
         return Join(self, other, [on] if isinstance(on, str) else on, residual, hint)
 
+    def spread(self, *by: str) -> Frame:
+        """The same rows; in full runs placed by ``by``, in parts of bounded size, so that rows made of them (words of a
+        text) are grouped where they arise, without a shuffle of their own."""
+        return Spread(self, by)
+
     def semi_join(self, other: Frame, on: list[str] | str) -> Frame:
         """Rows whose key is in ``other``."""
         keys = [on] if isinstance(on, str) else on
@@ -234,6 +239,31 @@ class FlatMap(Frame):
         return None if self.does is None else f"{self.does} {self.keep}"
 
     def _apply(self, d: DataFrame, *more: str) -> DataFrame:
+class Spread(Frame):
+    """Rows as they are; only where they lie differs."""
+
+    op = "spread"
+
+    def __init__(self, child: Frame, by: tuple[str, ...]):
+        super().__init__(child)
+        self.by = by
+
+    def _does(self):
+        return repr(self.by)
+
+    def keyed_by(self):
+        return self.children[0].keyed_by()
+
+    def full(self, version="new"):
+        return spread(self.children[0].full(version), *self.by)
+
+    def at(self, keys, on, version="new"):
+        return self.children[0].at(keys, on, version)
+
+    def _change(self, changes, step):
+        return changes[0]
+
+
         return d.select(*self.keep, *more, F.inline(self.array))
 
     def full(self, version="new"):

@@ -61,13 +61,19 @@ def map_values_scaled(spark, sf_dir):
     return _frame(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").map_values(o_totalprice="o_totalprice * 2").full()
 
 
-def _word_frame(docs: Frame) -> Frame:
-    return docs.flat_map(F.transform(jsplit(F.col("text")), lambda w: F.struct(w.alias("word"))), "doc_id")
+def _word_frame(docs: Frame, *keep: str) -> Frame:
+    return docs.flat_map(F.transform(jsplit(F.col("text")), lambda w: F.struct(w.alias("word"))), *(keep or ("doc_id",)))
+
+
+def _chunk_words(spark, sf_dir) -> Frame:
+    """Words beside the number of their chunk of 64 documents, the texts of a chunk in one place."""
+    docs = _frame(spark, sf_dir, "documents", "doc_id", "text").map_values(chunk_id="doc_id div 64")
+    return _word_frame(docs.project("chunk_id", "text").spread("chunk_id"), "chunk_id")
 
 
 @query("flat_map_tokens", f"select doc_id, word, count(*)::bigint as n from ({_WORDS}) group by doc_id, word")
 def flat_map_tokens(spark, sf_dir):
-    return _word_frame(_frame(spark, sf_dir, "documents", "doc_id", "text")).reduce_by_key(["doc_id", "word"], count_of("n")).full()
+    return _word_frame(_frame(spark, sf_dir, "documents", "doc_id", "text").spread("doc_id")).reduce_by_key(["doc_id", "word"], count_of("n")).full()
 
 
 @query("filter_pred", "select doc_id, lang, n_chars from documents where lang = 'en' and n_chars > 500")
@@ -87,8 +93,7 @@ def split_false(spark, sf_dir):
 
 @query("chunk_map", f"select doc_id // 64 as chunk_id, count(*)::bigint as n_tokens, count(distinct word)::bigint as n_distinct from ({_WORDS}) group by 1")
 def chunk_map(spark, sf_dir):
-    words = _word_frame(_frame(spark, sf_dir, "documents", "doc_id", "text"))
-    return words.chunk_map("doc_id div 64", count_of("n_tokens"), opaque("n_distinct", "count(distinct word)")).full()
+    return _chunk_words(spark, sf_dir).chunk_map("chunk_id", count_of("n_tokens"), opaque("n_distinct", "count(distinct word)")).full()
 
 
 _WC = f"select word, count(*)::bigint as n from ({_WORDS}) group by word"
@@ -101,8 +106,7 @@ def wc(spark, sf_dir):
 
 @query("wc_chunked", f"select doc_id // 64 as chunk_id, word, count(*)::bigint as n from ({_WORDS}) group by 1, 2")
 def wc_chunked(spark, sf_dir):
-    words = _word_frame(_frame(spark, sf_dir, "documents", "doc_id", "text")).map_values(chunk_id="doc_id div 64")
-    return words.reduce_by_key(["chunk_id", "word"], count_of("n")).full()
+    return _chunk_words(spark, sf_dir).reduce_by_key(["chunk_id", "word"], count_of("n")).full()
 
 
 def _dictionary(spark, sf_dir) -> Frame:

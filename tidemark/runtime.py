@@ -7,6 +7,7 @@ their own on the local disk; on a cluster that raises.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import tempfile
@@ -22,6 +23,11 @@ ROOT = str(Path(__file__).resolve().parents[1])
 #: Rows of one Arrow batch; with texts of a few KB this keeps a batch at a few MB, and bytes bound the rest.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
+#: A join broadcasts no file above the first size (its rows are larger), no shuffled rows above the second: what is
+#: broadcast passes through the driver, in every step anew.
+BROADCAST_FILE, BROADCAST_ROWS = 256 << 10, 1 << 20
+#: What one part of a spread table is meant for, in bytes of its file; grouped in memory, these are about a hundredfold.
+PART_BYTES = 1 << 20
 _FOLDER: ContextVar[str] = ContextVar("folder", default="")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -49,6 +55,13 @@ def _bytes(setting: str) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` shuffled by the columns ``by`` into as many parts as its size asks for, so that what a task groups by them
+    doesn't grow with the table; where one part will do, as it is."""
+    parts = math.ceil(plan_bytes(df) / PART_BYTES)
+    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
     """The shared folder for checkpoints and written intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
