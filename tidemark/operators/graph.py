@@ -54,7 +54,7 @@ def _next(weighted: DataFrame, nodes: DataFrame, ranks: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, steps: int) -> DataFrame:
     """(node, rank) after ``steps`` steps, as one plan. Edges are grouped by source once; each step joins ranks to
     them and adds up by target before anything is shuffled."""
-    weighted, nodes = _weighted(edges).repartition("src"), nodes_of(edges)
+    weighted, nodes = _weighted(edges), nodes_of(edges)
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for _ in range(steps):
         ranks = _next(weighted, nodes, ranks)

@@ -79,6 +79,10 @@ class Frame:
     def _does(self) -> str | None:
         return None
 
+    def keyed_by(self) -> Source | None:
+        """The one table of which each row gives its own rows here, all with that row's key; None if it isn't so."""
+        return None
+
     # -- operators ----------------------------------------------------------------------------------------------
 
     def map(self, *exprs: Column | str) -> Frame:
@@ -105,15 +109,15 @@ class Frame:
     def project(self, *columns: str) -> Frame:
         return Linear(self, "project", lambda d: [F.col(c) for c in columns], lambda on: True, repr(columns))
 
-    def join(self, other: Frame, on: list[str] | str, residual: str | None = None, hint: str | None = None) -> Frame:
-        """Inner join on equal keys, with a residual condition; ``hint="merge"`` asks for a sort join."""
-        return Join(self, other, [on] if isinstance(on, str) else on, residual, hint)
-
     def spread(self, *by: str) -> Frame:
         """The same rows; in full runs placed by ``by``, in parts of bounded size, so that rows made of them (words of a
         text) are grouped where they arise, without a shuffle of their own."""
         return Spread(self, by)
 
+    def join(self, other: Frame, on: list[str] | str, residual: str | None = None, hint: str | None = None) -> Frame:
+        """Inner join on equal keys, with a residual condition; ``hint="merge"`` asks for a sort join."""
+        return Join(self, other, [on] if isinstance(on, str) else on, residual, hint)
+
     def semi_join(self, other: Frame, on: list[str] | str) -> Frame:
         """Rows whose key is in ``other``."""
         keys = [on] if isinstance(on, str) else on
@@ -174,6 +178,9 @@ class Source(Frame):
     def _does(self):
         return f"{self.table.name}@{id(self.table)}"
 
+    def keyed_by(self):
+        return self
+
     def full(self, version: str = "new") -> DataFrame:
         return self.table.df(version)
 
@@ -213,6 +220,10 @@ class Linear(Frame):
     def _does(self):
         return None if self.does is None else f"{self.op} {self.does}"
 
+    def keyed_by(self):
+        source = self.children[0].keyed_by()
+        return source if source and self.kept(source.table.key) and set(source.table.key) <= set(self.full().columns) else None
+
     def at(self, keys, on, version="new"):
         if not self.kept(on):
             return super().at(keys, on, version)
@@ -228,17 +239,6 @@ class Linear(Frame):
         return d.select(*self.exprs(data_columns(d)), DIFF)
 
 
-class FlatMap(Frame):
-    op = "flat_map"
-
-    def __init__(self, child: Frame, array: Column, keep: tuple[str, ...], does: str | None = None):
-        super().__init__(child)
-        self.array, self.keep, self.does = array, keep, does
-
-    def _does(self):
-        return None if self.does is None else f"{self.does} {self.keep}"
-
-    def _apply(self, d: DataFrame, *more: str) -> DataFrame:
 class Spread(Frame):
     """Rows as they are; only where they lie differs."""
 
@@ -264,6 +264,21 @@ class Spread(Frame):
         return changes[0]
 
 
+class FlatMap(Frame):
+    op = "flat_map"
+
+    def __init__(self, child: Frame, array: Column, keep: tuple[str, ...], does: str | None = None):
+        super().__init__(child)
+        self.array, self.keep, self.does = array, keep, does
+
+    def _does(self):
+        return None if self.does is None else f"{self.does} {self.keep}"
+
+    def keyed_by(self):
+        source = self.children[0].keyed_by()
+        return source if source and set(source.table.key) <= set(self.keep) else None
+
+    def _apply(self, d: DataFrame, *more: str) -> DataFrame:
         return d.select(*self.keep, *more, F.inline(self.array))
 
     def full(self, version="new"):
@@ -283,6 +298,9 @@ class Filter(Frame):
     def _does(self):
         return self.does
 
+    def keyed_by(self):
+        return self.children[0].keyed_by()
+
     def full(self, version="new"):
         return self.children[0].full(version).filter(self.predicate)
 
@@ -376,7 +394,7 @@ class Join(Frame):
             parts.append(times(self._join(da, second(signed(b.at(keys(da), self.on, "new"))))))
         if db is not None:
             db = cut(db)
-            parts.append(times(self._join(signed(a.at(db, self.on, "old")), second(db))))
+            parts.append(times(self._join(signed(a.at(keys(db), self.on, "old")), second(db))))
         return union(*parts)
 
 

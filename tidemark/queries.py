@@ -19,7 +19,7 @@ from tidemark.operators.table import KeyedTable
 from tidemark.operators.wide import merge_columns
 from tidemark.plans.frame import Frame, Rows, Wide, global_rank
 from tidemark.plans.session import Result, Session
-from tidemark.runtime import cut, prepare, scratch_dir, table
+from tidemark.runtime import cut, prepare, scratch_dir, spread, table
 from tidemark.sources import documents as doc_sources
 from tidemark.sources import graphs, keyed
 from tidemark.streaming import streams
@@ -342,7 +342,8 @@ _NODES = f"select distinct node from (select src as node from ({_EDGES}) union a
 
 
 def _edges(spark, sf_dir) -> DataFrame:
-    return table(prepare(spark), sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    """Distinct edges, those of a source in one place."""
+    return spread(table(prepare(spark), sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), "src").distinct()
 
 
 @query("adjacency", f"select node, coalesce(list_sort(list(dst) filter (where dst is not null)), []) as neighbours from ({_NODES}) left join ({_EDGES}) on src = node group by node")
