@@ -242,3 +242,20 @@ def test_experiment_table(spark):
     found = list(experiment.sweep(spark, base, "key", lambda n: base.limit(n), build, {"partitions": [1, 2], "chunk": [4], "update": [2]}, repeats=1))
     lines = experiment.as_table(found).splitlines()
     assert [r["partitions"] for r in found] == [1, 2] and len(lines) == 3 and lines[0].startswith("partitions\tchunk\tupdate\tnaive_mean")
+
+
+def test_rows_that_carry_their_key_are_replaced_not_added_up(spark):
+    s = Session(spark)
+    t = s.create_table("docs", "id", spark.createDataFrame([(i, f"a b a w{i}") for i in range(40)] + [(None, "n n")], "id long, text string"))
+    words = s.frame(t).filter("id is null or id <> 5").spread("id").flat_map("transform(split(text, ' '), w -> struct(w as word))", "id")
+    result = s.run(words)
+    for step in range(11):  # more than are kept apart
+        t.put_all(spark.range(step, step + 4).selectExpr("id", f"if(id = 7, '', 'x x y{step}') as text"))
+        t.remove_all(spark.createDataFrame([(20 + step,)], "id long"))
+        if step == 10:
+            t.put_all(spark.createDataFrame([(None, "m m")], "id long, text string"))
+        s.propagate()
+        got = sorted(map(tuple, result.df().collect()), key=repr)
+        assert got == sorted(map(tuple, words.full().collect()), key=repr)
+    assert "hashpartitioning(word" not in result.df()._jdf.queryExecution().executedPlan().toString()
+    assert result.source is s.sources["docs"] and len(result.replaced) < 9

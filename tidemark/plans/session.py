@@ -8,19 +8,23 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.delta import consolidate, data_columns, rows, signed, union
+from tidemark.operators.delta import DIFF, consolidate, data_columns, nullsafe, rows, signed, union
 from tidemark.operators.table import KeyedTable
 from tidemark.plans.frame import Frame, Rows, Sorted, Source, Stateful
 from tidemark.runtime import cut, forget, plan_bytes, prepare, written_under
 
 #: Changes of a result that are kept apart before they are merged, and the share of its base at which they join it.
 FOLD_AFTER, FOLD_SHARE = 8, 0.25
+#: Bytes of written keys up to which all machines hold the keys that changes name.
+NAMED_BYTES = 8 << 20
 
 
 class Result:
     """The output of a graph. ``df()`` always equals a run from scratch over the tables' current rows.
 
     Nodes with state hold their own rows. Of other graphs the rows are written once, and each step's change behind them.
+    Where every row carries the key of the one table row that gives it, a change is the keys touched and their new rows:
+    nothing is added up, and reading passes over what later changes name.
     """
 
     def __init__(self, frame: Frame):
@@ -28,8 +32,10 @@ class Result:
         frame.initialise()
         self.kept = frame.children[0] if isinstance(frame, Sorted) else frame
         self.stateful = isinstance(self.kept, Stateful)
-        self.base = None if self.stateful else cut(signed(frame.full()))
+        self.source = None if self.stateful else self.kept.keyed_by()
+        self.base = None if self.stateful else cut(frame.full() if self.source else signed(frame.full()))
         self.changes: list[DataFrame] = []
+        self.replaced: list[tuple[DataFrame, DataFrame]] = []
         self.steps_with_work = 0
 
     def _apply(self, step: int) -> None:
@@ -39,6 +45,9 @@ class Result:
         self.steps_with_work += 1
         if self.stateful:
             return
+        if self.source:
+            self._replace(change)
+            return
         self.changes.append(cut(consolidate(change)))
         if len(self.changes) > FOLD_AFTER:
             merged = cut(consolidate(union(*self.changes)))
@@ -46,6 +55,30 @@ class Result:
             if plan_bytes(merged) > FOLD_SHARE * plan_bytes(self.base):
                 self.base, self.changes = cut(self._whole()), []
 
+    def _replace(self, change: DataFrame) -> None:
+        """Note the keys that the table's change touches and the rows they have now."""
+        keys = cut(self.source.latest.select(*self.source.table.key).distinct())
+        self.replaced.append((keys, cut(change.filter(f"{DIFF} > 0").drop(DIFF).select(*self.base.columns))))
+        if len(self.replaced) > FOLD_AFTER:
+            if sum(plan_bytes(r) for _, r in self.replaced) > FOLD_SHARE * plan_bytes(self.base):
+                self.base, self.replaced = cut(self._standing(True)), []
+            else:
+                self.replaced = [(cut(union(*(k for k, _ in self.replaced)).distinct()), cut(self._standing(False)))]
+
+    def _standing(self, with_base: bool) -> DataFrame:
+        """Rows that no later change names the key of: of the changes, and of the base if asked for."""
+        if not self.replaced:
+            return self.base
+        key = self.source.table.key
+        named = union(*(k.withColumn("_at", F.lit(i)) for i, (k, _) in enumerate(self.replaced, 1))).groupBy(*key).agg(F.max("_at").alias("_last"))
+        named = named.select(*(F.col(k).alias(f"_k_{k}") for k in key), "_last")
+        if sum(plan_bytes(k) for k, _ in self.replaced) <= NAMED_BYTES:  # else the rows themselves would be shuffled
+            named = F.broadcast(named)
+        parts = [r.withColumn("_at", F.lit(i)) for i, (_, r) in enumerate(self.replaced, 1)]
+        stacked = union(*([self.base.withColumn("_at", F.lit(0))] if with_base else []), *parts)
+        kept = stacked.join(named, nullsafe(key, [f"_k_{k}" for k in key]), "left").filter(F.coalesce("_last", F.lit(0)) == F.col("_at"))
+        return kept.select(*self.base.columns)
+
     def _whole(self) -> DataFrame:
         """The base past the rows that changes name, and those added up; a hash only tells which rows may be named."""
         if not self.changes:
@@ -59,7 +92,7 @@ class Result:
         return untouched.unionByName(consolidate(touched.unionByName(changes)))
 
     def df(self) -> DataFrame:
-        out = self.kept.full() if self.stateful else rows(self._whole())
+        out = self.kept.full() if self.stateful else self._standing(True) if self.source else rows(self._whole())
         return self.frame.ranked(out) if isinstance(self.frame, Sorted) else out
 
     def collect(self) -> list:
