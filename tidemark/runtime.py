@@ -29,11 +29,13 @@ BROADCAST_FILE, BROADCAST_ROWS = 256 << 10, 1 << 20
 #: What one part of a spread table is meant for, in bytes of its file; grouped in memory, these are about a hundredfold.
 PART_BYTES = 1 << 20
 _FOLDER: ContextVar[str] = ContextVar("folder", default="")
+_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
+_BROADCAST_LATER = "spark.sql.adaptive.autoBroadcastJoinThreshold"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, bound Arrow batches and name a checkpoint folder; idempotent."""
+    """Let Python workers import this package, bound Arrow batches and broadcasts, name a checkpoint folder; idempotent."""
     sc = spark.sparkContext
     parts = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
@@ -43,10 +45,23 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    allowed = _bytes(spark.conf.get(_BROADCAST))
+    later = _bytes(spark.conf.get(_BROADCAST_LATER, None) or str(allowed))
+    if later > BROADCAST_ROWS:
+        spark.conf.set(_BROADCAST_LATER, str(BROADCAST_ROWS))
+    if allowed > BROADCAST_FILE:
+        spark.conf.set(_BROADCAST, str(BROADCAST_FILE))
     scratch_dir(spark)
     return spark
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` shuffled by the columns ``by`` into as many parts as its size asks for, so that what a task groups by them
+    doesn't grow with the table; where one part will do, as it is."""
+    parts = math.ceil(plan_bytes(df) / PART_BYTES)
+    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def _bytes(setting: str) -> int:
     """Bytes of a size setting such as 64m or 1048576b."""
     digits = setting.strip().lower().removesuffix("b")
@@ -55,13 +70,6 @@ def _bytes(setting: str) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` shuffled by the columns ``by`` into as many parts as its size asks for, so that what a task groups by them
-    doesn't grow with the table; where one part will do, as it is."""
-    parts = math.ceil(plan_bytes(df) / PART_BYTES)
-    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *by)
-
-
     """The shared folder for checkpoints and written intermediate tables."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
