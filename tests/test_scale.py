@@ -3,8 +3,13 @@
 import pytest
 
 from conftest import SF
+from pyspark.sql import functions as F
+
 from tidemark import runtime
+from tidemark.operators import store
+from tidemark.operators.agg import count_of
 from tidemark.plans.frame import Rows
+from tidemark.plans.session import Session
 from tidemark.queries import QUERIES
 
 
@@ -57,3 +62,30 @@ def test_broadcasts_are_bounded(spark):
     finally:
         for n, v in before.items():
             spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_a_large_change_is_grouped_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(store.KeyedStore.__init__, "__defaults__", (None, 4 << 10))
+    monkeypatch.setattr(runtime, "BROADCAST_FILE", 1 << 10)
+    largest = []
+    for n in (4000, 32000):
+        s = Session(spark)
+        path = f"{runtime.scratch_dir(spark)}/input-{s.folder}"
+        spark.range(n).selectExpr("id as key", "id % 1000 as g", "xxhash64(id) as value").write.parquet(path)
+        whole = spark.read.parquet(path)
+        t = s.create_table("t", "key", whole)
+        out = s.run(s.frame(t).reduce_by_key("g", count_of("n")))
+        t.clear()
+        s.propagate()
+        assert not t.df().limit(1).count() and not out.df().limit(1).count()
+        step = t.store.steps[-1]
+        assert step.count() == n
+        largest.append(max(r[0] for r in step.groupBy(F.input_file_name()).count().select("count").collect()))
+        half = whole.filter("key % 2 = 0").withColumn("value", F.lit(7).cast("long"))
+        t.put_all(half)
+        s.propagate()
+        assert sorted(map(tuple, t.df().collect())) == sorted(map(tuple, half.collect()))
+        assert sorted(map(tuple, t.lookup(whole.filter("key < 3000")).collect())) == sorted(map(tuple, half.filter("key < 3000").collect()))
+        assert sorted(map(tuple, out.df().collect())) == [(g, n // 1000) for g in range(0, 1000, 2)]
+        s.close()
+    assert largest[1] < 2 * largest[0]

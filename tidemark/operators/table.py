@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.delta import DIFF, nullsafe
-from tidemark.operators.store import NEW, OLD, KeyedStore, change_of, packed
-from tidemark.runtime import cut
+from tidemark.operators.delta import DIFF
+from tidemark.operators.store import NEW, OLD, KeyedStore, change_of
+from tidemark.runtime import cut, spread
 
 
 class KeyedTable:
@@ -26,7 +26,7 @@ class KeyedTable:
         self.schema = initial.schema
         self.values = [c for c in initial.columns if c not in self.key]
         self.store = KeyedStore(initial.select(*self.key, *self.values), self.key)
-        if not trusted and self.store.base.groupBy(*self.key).count().filter("count > 1").limit(1).count():
+        if not trusted and spread(self.store.base.select(*self.key), *self.key).groupBy(*self.key).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{name}: a key occurs more than once in the initial rows")
         self.version = 0
         self._queue: list[DataFrame] = []
@@ -85,22 +85,23 @@ class KeyedTable:
         return self.store.lookup(keys, self.key, version)
 
     def _merged_queue(self, queue: DataFrame) -> DataFrame:
-        """One row a key: whether it was last put or removed, whether a removal came first, and the fields given since."""
+        """One row a queued key: what is kept under it, whether it was last put or removed, whether a removal came first,
+        and the fields given since. ``queue`` is stacked with what is kept, whose rows have none of its columns."""
         at = F.struct("_batch", "_order")
-        last = F.max_by("_op", at).alias("_last")
+        last = [F.max_by("_op", at).alias("_last"), self.store.last_of().alias(OLD)]
         gone = F.max(F.when(F.col("_op") == "remove", at))
         if len(self._queue) == 1:  # puts of one batch alone, or removals alone
             fields = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("_given", c), at)).alias(f"_put_{c}") for c in self.values]
-            return queue.groupBy(*self.key).agg(last, F.lit(False).alias("_cleared"), *fields)
+            return queue.groupBy(*self.key).agg(*last, F.lit(False).alias("_cleared"), *fields).filter("_last is not null")
         live = queue.withColumn("_gone", gone.over(Window.partitionBy(*self.key))).withColumn("_live", F.col("_gone").isNull() | (at > F.col("_gone")))
         fields = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col("_live") & F.array_contains("_given", c), at)).alias(f"_put_{c}") for c in self.values]
-        return live.groupBy(*self.key).agg(last, F.bool_or(F.col("_gone").isNotNull()).alias("_cleared"), *fields)
+        return live.groupBy(*self.key).agg(*last, F.bool_or(F.col("_gone").isNotNull()).alias("_cleared"), *fields).filter("_last is not null")
 
     def advance(self) -> DataFrame | None:
         """Turn queued puts and removals into one written change; None if nothing changes.
 
-        What is there under the queued keys is looked up, each key's old and new row are written side by side, and the
-        signed change is read from that.
+        The queue and what is kept under its keys are grouped by key once, each key's old and new row are written side
+        by side, and the signed change is read from that.
         """
         self.store.before = (self.store.base, list(self.store.steps))
         if not self._queue:
@@ -109,9 +110,7 @@ class KeyedTable:
         for q in self._queue[1:]:
             queue = queue.unionByName(q)
         queue = cut(queue)
-        merged, self._queue = self._merged_queue(queue), []
-        prior = self.lookup(queue).select(*(F.col(k).alias(f"_k_{k}") for k in self.key), packed(self.values).alias(OLD))
-        both = merged.join(prior, nullsafe(self.key, [f"_k_{k}" for k in self.key]), "left")
+        both, self._queue = self._merged_queue(self.store.history(queue)), []
         keep = F.col(OLD).isNotNull() & ~F.col("_cleared")
         field = lambda c: F.when(F.col(f"_put_{c}").isNotNull(), F.col(f"_put_{c}.v")).when(keep, F.col(f"{OLD}.{c}")).otherwise(F.lit(self.defaults.get(c)).cast(self.schema[c].dataType))
         new = F.when(F.col("_last") == "put", F.struct(F.lit(True).alias("_here"), *(field(c).alias(c) for c in self.values)))

@@ -486,20 +486,19 @@ class Reduce(Stateful):
     def _added(self, d: DataFrame) -> DataFrame | None:
         added = cut(self._sums(d))
         store = self.store
-        step = store.apply(cut(self._together(store.lookup(added, self.keys), added).filter(f"{OLD} is not null or {NEW} is not null")))
+        step = store.apply(cut(self._together(added).filter(f"{OLD} is not null or {NEW} is not null")))
         if step is None:
             return None
         side = lambda x: F.when(self._present(f"{x}."), F.struct(F.lit(True).alias("_here"), *self._outputs(f"{x}."))).alias(x)
         return change_of(step.select(*self.keys, side(OLD), side(NEW)), self.keys, [s.name for s in self.specs])
 
-    def _together(self, known: DataFrame, added: DataFrame) -> DataFrame:
+    def _together(self, added: DataFrame) -> DataFrame:
         """(keys, _old, _new): kept sums of the groups touched, and what they are with the added ones."""
         values, kinds = self.store.values, dict(self.store.base.dtypes)
         if self.keys and not any(s.kind == "group" for s in self.specs):
-            old = known.select(*(F.col(k).alias(f"_k_{k}") for k in self.keys), packed(values).alias(OLD))
-            both = added.join(old, nullsafe(self.keys, [f"_k_{k}" for k in self.keys]), "left")
-            sums = both.select(*self.keys, OLD, *(F.expr(f"cast(coalesce(`{c}`, 0) + coalesce({OLD}.`{c}`, 0) as {kinds[c]}) as `{c}`") for c in values))
+            sums = self.store.met(added).select(*self.keys, OLD, *(F.expr(f"cast(coalesce(`{c}`, 0) + coalesce({OLD}.`{c}`, 0) as {kinds[c]}) as `{c}`") for c in values))
         else:
+            known = self.store.lookup(added, self.keys)
             both = known.withColumn(OLD, packed(values)).unionByName(added, allowMissingColumns=True).groupBy(*self.keys)
             sums = both.agg(F.sum("_rows").alias("_rows"), *(p for s in self.specs for p in s.merged()), F.first(OLD, ignorenulls=True).alias(OLD))
             sums = sums.withColumns({c: F.col(c).cast(kinds[c]) for c in values})
