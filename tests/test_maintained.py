@@ -10,6 +10,7 @@ from tidemark.operators import graph
 from tidemark.operators.agg import avg_of, count_of, group_of, max_of, opaque, sum_of
 from tidemark.operators import store
 from tidemark.plans import experiment
+from tidemark.plans.frame import Reduce, Wide
 from tidemark.plans.session import Session
 
 SCHEMA = "key long, value long"
@@ -259,3 +260,39 @@ def test_rows_that_carry_their_key_are_replaced_not_added_up(spark):
         assert got == sorted(map(tuple, words.full().collect()), key=repr)
     assert "hashpartitioning(word" not in result.df()._jdf.queryExecution().executedPlan().toString()
     assert result.source is s.sources["docs"] and len(result.replaced) < 9
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_wide_rows_follow_from_changes_alone(spark, monkeypatch, many):
+    if many:  # every change takes the way of large ones, through the hash join or all at once
+        monkeypatch.setattr(store.runtime, "BROADCAST_FILE", -1)
+        monkeypatch.setattr(store.KeyedStore.__init__, "__defaults__", (None, 512))
+    rng = random.Random(11)
+    s = Session(spark)
+    a = s.create_table("a", "key", pairs(spark, [(k, k % 3) for k in range(20)]))
+    b = s.create_table("b", "key", pairs(spark, [(k, k % 5) for k in range(10, 25)]))
+    left = s.frame(a).map_values(g="key % 8").aggregate_into("g", sum_of("total", "value"), drop_initial="total")
+    right = s.frame(b).map_values(g="key % 11").aggregate_into("g", max_of("top", "value"))
+    wide = Wide("g", {"total": left, "top": right}, {"total": -1, "top": -2})
+    out = s.run(wide)
+
+    def refuse(*_):
+        raise AssertionError("a frame was looked up")
+
+    monkeypatch.setattr(Reduce if many else left, "at", refuse)
+    kept = {"a": {k: k % 3 for k in range(20)}, "b": {k: k % 5 for k in range(10, 25)}}
+    for _ in range(3):
+        for name, t in (("a", a), ("b", b)):
+            puts = {rng.randrange(30): rng.randrange(6) for _ in range(6)}
+            gone = sorted(rng.sample(sorted(kept[name]), 5))
+            t.put_all(pairs(spark, puts.items()))
+            t.remove_all(spark.createDataFrame([(k,) for k in gone], "key long"))
+            kept[name] = {k: v for k, v in (kept[name] | puts).items() if k not in gone}
+        s.propagate()
+        totals, tops = {}, {}
+        for k, v in kept["a"].items():
+            totals[k % 8] = totals.get(k % 8, 0) + v
+        for k, v in kept["b"].items():
+            tops[k % 11] = max(tops.get(k % 11, v), v)
+        totals = {g: v for g, v in totals.items() if v}
+        assert rows(out.df()) == sorted([(g, totals.get(g, -1), tops.get(g, -2)) for g in {*totals, *tops}], key=repr)

@@ -386,15 +386,14 @@ class Join(Frame):
         a, b = self.children
         second = lambda d: d.withColumnRenamed(DIFF, "_diff2")
         times = lambda d: d.withColumn(DIFF, F.col(DIFF) * F.col("_diff2")).drop("_diff2")
-        # Each change is written once, and the other side is read under its keys only, each of them named once.
-        keys = lambda d: cut(d.select(*self.on).distinct())
+        # Each change is written once, and the other side is read under its keys only.
         parts = []
         if da is not None:
             da = cut(da)
-            parts.append(times(self._join(da, second(signed(b.at(keys(da), self.on, "new"))))))
+            parts.append(times(self._join(da, second(signed(b.at(da, self.on, "new"))))))
         if db is not None:
             db = cut(db)
-            parts.append(times(self._join(signed(a.at(keys(db), self.on, "old")), second(db))))
+            parts.append(times(self._join(signed(a.at(db, self.on, "old")), second(db))))
         return union(*parts)
 
 
@@ -518,10 +517,12 @@ class Reduce(Stateful):
 class Wide(Stateful):
     """One row a key from several frames, each of which gives one column; what a frame lacks has its default.
 
-    A change looks up the keys it touches in each frame.
+    Beside each row is kept which frames have its key, so that a change of frames with state needs only what they changed
+    and the rows kept here. Of other frames, whose changes may name a row more than once, the touched keys are looked up.
     """
 
     op = "wide"
+    THERE = "_in_"
 
     def __init__(self, key: str, columns: dict[str, Frame], defaults: dict[str, object]):
         super().__init__(*columns.values())
@@ -530,26 +531,60 @@ class Wide(Stateful):
     def _row(self, parts: list[DataFrame]) -> DataFrame:
         from tidemark.operators.wide import merge_columns
 
-        return merge_columns(self.key, {n: d.select(self.key, n) for n, d in zip(self.names, parts)}, self.defaults)
+        return merge_columns(self.key, {n: d.select(self.key, n) for n, d in zip(self.names, parts)}, self.defaults, self.THERE)
 
     def full(self, version="new"):
-        return self.store.rows(version) if self.store else self._row([c.full(version) for c in self.children])
+        rows = self.store.rows(version) if self.store else self._row([c.full(version) for c in self.children])
+        return rows.select(self.key, *self.names)
 
     def at(self, keys, on, version="new"):
-        return self.store.lookup(keys, on, version) if self.store and on == [self.key] else super().at(keys, on, version)
+        return self.store.lookup(keys, on, version).select(self.key, *self.names) if self.store and on == [self.key] else super().at(keys, on, version)
 
     def _build(self):
         return KeyedStore(self._row([c.full() for c in self.children]), [self.key])
 
     def _change(self, changes, step):
+        known = all(isinstance(c, Stateful) for c in self.children)
+        made = self._moved(changes) if known else self._anew(changes)
+        step = self.store.apply(cut(made.filter(~F.col(OLD).eqNullSafe(F.col(NEW)))))
+        if step is None:
+            return None
+        side = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.lit(True).alias("_here"), *(F.col(f"{x}.{n}").alias(n) for n in self.names))).alias(x)
+        return change_of(step.select(self.key, side(OLD), side(NEW)), [self.key], self.names)
+
+    def _moved(self, changes: list[DataFrame | None]) -> DataFrame:
+        """(key, _old, _new) from the changes alone: of each key and frame at most one row goes and one comes."""
+        kinds = dict(self.store.base.dtypes)
+        came = lambda n: F.when(F.col(DIFF) > 0, F.struct(F.col(n).cast(kinds[n]).alias("v"))).alias(f"_came_{n}")
+        given = [c.select(self.key, F.lit(n).alias("_of"), came(n)) for n, c in zip(self.names, changes) if c is not None]
+        stacked = given[0]
+        for d in given[1:]:
+            stacked = stacked.unionByName(d, allowMissingColumns=True)
+        changed = [n for n, c in zip(self.names, changes) if c is not None]
+        moved = [F.bool_or(F.col("_of") == n).alias(f"_moved_{n}") for n in changed]
+        both = self.store.history(cut(stacked)).groupBy(self.key)
+        both = both.agg(self.store.last_of().alias(OLD), F.count("_of").alias("_named"), *moved, *(F.first(f"_came_{n}", ignorenulls=True).alias(f"_came_{n}") for n in changed)).filter("_named > 0")
+        columns, there = [], []
+        for n in self.names:
+            default = F.lit(self.defaults.get(n)).cast(kinds[n])
+            kept, had = F.when(F.col(f"{OLD}.{self.THERE}{n}"), F.col(f"{OLD}.{n}")), F.coalesce(F.col(f"{OLD}.{self.THERE}{n}"), F.lit(False))
+            if n in changed:
+                is_moved = F.coalesce(F.col(f"_moved_{n}"), F.lit(False))
+                kept, had = F.when(is_moved, F.col(f"_came_{n}.v")).otherwise(kept), F.when(is_moved, F.col(f"_came_{n}").isNotNull()).otherwise(had)
+            columns.append(F.coalesce(kept, default).alias(n))
+            there.append(had.alias(f"{self.THERE}{n}"))
+        rows = both.select(self.key, OLD, *columns, *there)
+        some = F.greatest(*(F.col(f"{self.THERE}{n}") for n in self.names)) if len(self.names) > 1 else F.col(f"{self.THERE}{self.names[0]}")
+        return rows.select(self.key, OLD, F.when(some, packed(self.store.values)).alias(NEW))
+
+    def _anew(self, changes: list[DataFrame | None]) -> DataFrame:
+        """(key, _old, _new) from lookups of the touched keys in each frame."""
         touched = cut(union(*(c.select(self.key) for c in changes if c is not None)).distinct())
         store = self.store
         new = self._row([c.at(touched, [self.key]) for c in self.children])
         old = store.lookup(touched, [self.key])
         stacked = old.select(self.key, packed(store.values).alias(OLD)).unionByName(new.select(self.key, packed(store.values).alias(NEW)), allowMissingColumns=True)
-        step = stacked.groupBy(self.key).agg(F.first(OLD, ignorenulls=True).alias(OLD), F.first(NEW, ignorenulls=True).alias(NEW))
-        step = store.apply(cut(step.filter(~F.col(OLD).eqNullSafe(F.col(NEW)))))
-        return None if step is None else change_of(step, [self.key], store.values)
+        return stacked.groupBy(self.key).agg(F.first(OLD, ignorenulls=True).alias(OLD), F.first(NEW, ignorenulls=True).alias(NEW))
 
 
 __all__ = ["Frame", "Join", "Reduce", "Rows", "Sorted", "Source", "Stateful", "Wide", "global_rank", "negate", "nullsafe"]
